@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarp.llm import simhash
+from tracewarp.llm import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, duplicate_of) of every document that has a near copy with a smaller id."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of the documents that the classifier trained on ``labels`` keeps."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.kept(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score")

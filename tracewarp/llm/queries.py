@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarp.llm import quality, simhash
+from tracewarp.llm import linededup, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,22 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of the documents that the classifier trained on ``labels`` keeps."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.kept(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score")
+
+
+OP7_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+ranked AS (
+  SELECT doc_id, line, pos, trim(line) = '' AS blank,
+         row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, pos) AS nth
+  FROM lines)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (blank OR nth = 1) AS text
+FROM ranked GROUP BY doc_id
+HAVING bool_or(NOT blank AND nth = 1) OR bool_and(blank)"""
+
+
+@query(OP7_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): all documents inserted into a new index, without repeated lines; emptied documents go."""
+    return linededup.deduped(_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tracewarp.llm.cuckoo import Cuckoo, CuckooFull
 from tracewarp.llm.linededup import LineIndex, deduped
 
-SCHEMA = "h1 int, doc_id long, text string, doc string, pos int, known string"
+SCHEMA = "h1 int, doc_id long, text string, __doc string, pos int, `__gone.x` string"
 
 
 def docs(spark, rows):
@@ -115,7 +115,7 @@ def test_edge_cases(spark):
         (6, long), (7, long + "\nend"), (8, "b\nc"), (8, "c\nd"),
     ]
     df = deduped(docs(spark, rows))
-    assert df.columns == ["h1", "doc_id", "text", "doc", "pos", "known"]
+    assert df.columns == ["h1", "doc_id", "text", "__doc", "pos", "__gone.x"]
     got = out(df)
     assert [t for i, t in got if i == 1] == ["a\n\nb"] * 2 and (5, " a ") not in got
     assert {(2, None), (3, ""), (4, "\n \n"), (None, "q"), (None, None), (6, long), (7, "end")} <= set(got)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -42,6 +42,19 @@ def _delete_written() -> None:
 atexit.register(_delete_written)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until it clashes with none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

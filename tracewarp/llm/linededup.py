@@ -23,22 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracewarp.llm.common import new_path, written
+from tracewarp.llm.common import new_path, quoted, unused, written
 from tracewarp.llm.cuckoo import Cuckoo, CuckooFull
 
 SHARDS = 256
 _LAST_ID = 2**63 - 1
 
 
-def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[F.Column, F.Column]:
+def _identity(id_col: str, text_col: str) -> tuple[F.Column, F.Column]:
     """What tells documents apart: the id, last of all where null, and a hash of the text."""
-    return F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID)), F.xxhash64(docs[text_col])
+    return F.coalesce(quoted(id_col).cast("long"), F.lit(_LAST_ID)), F.xxhash64(quoted(text_col))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, h1, h2, doc, th, pos) of each line that isn't blank; spaces around a line don't count."""
-    doc, th = _identity(docs, id_col, text_col)
-    src = docs.select(doc.alias("doc"), th.alias("th"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
+    doc, th = _identity(id_col, text_col)
+    src = docs.select(doc.alias("doc"), th.alias("th"), F.posexplode(F.split(quoted(text_col), "\n")).alias("pos", "line"))
     line = F.trim("line")
     keyed = src.where(line != "").select(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "doc", "th", "pos")
     return keyed.select(F.pmod("h1", F.lit(SHARDS)).cast("int").alias("shard"), "*")
@@ -178,8 +178,8 @@ class LineIndex:
             occ.join(repeated, ["h1", "h2"])
             .where(F.col("known") | (F.struct("doc", "th", "pos") != F.col("first")))
             .groupBy("doc", "th")
-            .agg(F.collect_set("pos").alias("__gone"))
-            .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "__gone")
+            .agg(F.collect_set("pos").alias("gone"))
+            .select("doc", "th", "gone")
         )
         old = self.refs()
         fresh = occ.select("shard", "h1", "h2", "doc").distinct().withColumn("batch", F.lit(self.version + 1))
@@ -195,13 +195,13 @@ class LineIndex:
 
     @staticmethod
     def _apply(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        doc, th = _identity(docs, id_col, text_col)
-        j = docs.join(gone, (doc == F.col("__doc")) & (th == F.col("__th")), "left")
-        cut = _without(F.when(F.col("__gone").isNotNull(), docs[text_col]), F.coalesce("__gone", F.array().cast("array<int>")))
-        some = F.col("__gone").isNotNull()
-        j = j.select(*(docs[c] for c in docs.columns if c != text_col), F.when(some, cut).otherwise(docs[text_col]).alias("__text"), some.alias("__some"))
-        j = j.where(~F.col("__some") | F.col("__text").rlike(r"[^ \n]"))
-        return j.select(*(F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+        doc, th = _identity(id_col, text_col)
+        d, h, g = (unused(docs.columns, n) for n in ("__doc", "__th", "__gone"))
+        j = docs.join(gone.toDF(d, h, g), (doc == F.col(d)) & (th == F.col(h)), "left")
+        some = F.col(g).isNotNull()
+        cut = _without(F.when(some, quoted(text_col)), F.coalesce(F.col(g), F.array().cast("array<int>")))
+        j = j.withColumn(text_col, F.when(some, cut).otherwise(quoted(text_col)))
+        return j.where(~some | quoted(text_col).rlike(r"[^ \n]")).select(*map(quoted, docs.columns))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Takes documents out, by id: their references, and lines left without any from the filters. Unknown and null ids are no matter."""

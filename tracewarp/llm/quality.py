@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewarp.llm.common import text_chunks
+from tracewarp.llm.common import quoted, text_chunks
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
@@ -141,7 +141,7 @@ def scored(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text",
     A null, empty or blank text scores 0; without a model every text with a token scores 1.
     """
     keep = [c for c in docs.columns if c != out]
-    src = docs.select(*(F.col(f"`{c}`") for c in keep))
+    src = docs.select(*map(quoted, keep))
     at = keep.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,4 +163,4 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     as they are, but for one named ``score``, which is replaced.
     """
     w = fit(docs, labels, id_col, text_col, label_col)
-    return scored(docs, w, text_col).where(F.col("score") >= THRESHOLD)
+    return scored(docs, w, text_col).where(quoted("score") >= THRESHOLD)

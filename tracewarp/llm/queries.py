@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarp.llm import linededup, quality, simhash
+from tracewarp.llm import bpe, linededup, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,9 @@ HAVING bool_or(NOT blank AND nth = 1) OR bool_and(blank)"""
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): all documents inserted into a new index, without repeated lines; emptied documents go."""
     return linededup.deduped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded): the ids of every document, and the text that the ids alone give."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "decoded")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import connected_components, partitions_for, text_chunks, written
+from tracewarp.llm.common import connected_components, partitions_for, quoted, text_chunks, unused, written
 
 BITS = 128
 #: (word, shift, width) of each segment; no segment crosses a 64-bit word.
@@ -87,7 +87,7 @@ def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0, f1) of each document with an id and at least one word."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     return src.where("id is not null and text is not null").mapInArrow(_fingerprint_batches, "id long, f0 long, f1 long")
 
 
@@ -220,4 +220,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that :func:`near_duplicates` tells to go; columns as they are."""
     gone = written(near_duplicates(docs, id_col, text_col), "duplicates")
-    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
+    name = unused(docs.columns, "__gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)), quoted(id_col).cast("long") == F.col(name), "left_anti")

@@ -28,6 +28,9 @@ TEMPER = 0.7
 #: Upper bounds of the bands of document length whose token shares are kept.
 BANDS = (128, 512, 2048)
 TOLERANCE, MAX_STEPS = 1e-10, 60
+#: A step changes no multiplier by more than LONGEST, is halved up to HALVINGS times until it helps, and the steps end
+#: after STALLED that left the error almost as it was: then no rates meet the targets.
+LONGEST, HALVINGS, STALLED = 4.0, 12, 5
 #: Most categories of all constraints together: the Hessian of so many is solved on the driver.
 MAX_CATEGORIES = 5000
 SEED = 1
@@ -109,23 +112,24 @@ def solve(table: DataFrame, shares: list[dict[str, float]]) -> Tilt:
     scaled = table.withColumn("tokens", F.col("tokens") / F.lit(float(total)))
     value, g, h = _sums(scaled, n, index, lam)
     value -= lam @ target
-    steps = 0
-    while np.abs(g - target).max() > TOLERANCE and steps < MAX_STEPS:
+    error, steps, stalled = np.abs(g - target).max(), 0, 0
+    while error > TOLERANCE and steps < MAX_STEPS and stalled < STALLED:
         # The categories of a constraint cover the same tokens, so the Hessian has a null space: least squares.
         d = np.linalg.lstsq(h, target - g, rcond=1e-12)[0]
-        size, slope = 1.0, (g - target) @ d
-        while size > 1e-8:
+        size, slope = min(1.0, LONGEST / max(np.abs(d).max(), 1e-300)), (g - target) @ d
+        for _ in range(HALVINGS):
             tried = lam + size * d
             v, g2, h2 = _sums(scaled, n, index, tried)
             v -= tried @ target
-            if v <= value + 1e-4 * size * slope or np.abs(g2 - target).max() < np.abs(g - target).max():
+            after = np.abs(g2 - target).max()
+            if v <= value + 1e-4 * size * slope or after < error:
                 break
             size /= 2
-        steps += 1
-        if size <= 1e-8:
+        else:
             break
-        lam, value, g, h = tried, v, g2, h2
-    return Tilt({k: float(lam[i]) for k, i in index.items()}, steps, float(np.abs(g - target).max()))
+        steps, stalled = steps + 1, stalled + 1 if after > 0.9 * error else 0
+        lam, value, g, h, error = tried, v, g2, h2, after
+    return Tilt({k: float(lam[i]) for k, i in index.items()}, steps, float(error))
 
 
 def _rate(constraints: list[Column], tilt: Tilt) -> Column:

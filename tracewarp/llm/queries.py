@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarp.llm import bpe, linededup, quality, simhash
+from tracewarp.llm import bpe, linededup, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded): the ids of every document, and the text that the ids alone give."""
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "decoded")
+
+
+@query()
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, tokens, rate, copies) of every document, by the tempered shares of sources and languages."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.rated(docs)[0].select("doc_id", "source", "lang", "tokens", "rate", "copies")

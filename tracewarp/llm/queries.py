@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewarp.llm import bpe, linededup, mixing, quality, simhash
+from tracewarp.llm import additive, bpe, linededup, mixing, quality, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, tokens, rate, copies) of every document, by the tempered shares of sources and languages."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return mixing.rated(docs)[0].select("doc_id", "source", "lang", "tokens", "rate", "copies")
+
+
+@query()
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, neighbour_id, score): about the ten nearest of every vector."""
+    return additive.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM v),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_dot_product(a.e, b.e) / (a.len * b.len), 9) AS score
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS rank FROM p)
+SELECT query_id, rank, neighbour_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
+
+
+@query(OP6_SQL)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, neighbour_id, score): the ten nearest of every vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarp.llm import additive, bpe, linededup, mixing, quality, simhash, topk
+from tracewarp.llm import additive, bpe, linededup, mixing, quality, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,12 @@ SELECT query_id, rank, neighbour_id, round(score, 6) AS score FROM r WHERE rank
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, rank, neighbour_id, score): the ten nearest of every vector."""
     return topk.top_k(_table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+OP3_SQL = "SELECT page_id, url, html, strlen(html) AS payload_length, md5(html) AS payload_md5 FROM pages"
+
+
+@query(OP3_SQL)
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, archived as single gzip streams, normalised to a member a record, and each read by its sidecar offset."""
+    return warc.through_archive(_table(spark, sf_dir, "pages"))

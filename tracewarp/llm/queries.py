@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarp.llm import additive, bpe, linededup, mixing, quality, simhash, topk, warc
+from tracewarp.llm import additive, bpe, licenses, linededup, mixing, quality, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ OP3_SQL = "SELECT page_id, url, html, strlen(html) AS payload_length, md5(html)
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, archived as single gzip streams, normalised to a member a record, and each read by its sidecar offset."""
     return warc.through_archive(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, as a file of its source's and language's folder, by its own lines or its folders."""
+    return licenses.scan(licenses.document_paths(_table(spark, sf_dir, "documents")))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarp.llm import additive, bpe, licenses, linededup, mixing, quality, simhash, topk, warc
+from tracewarp.llm import additive, bpe, licenses, linededup, mixing, pii, quality, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, as a file of its source's and language's folder, by its own lines or its folders."""
     return licenses.scan(licenses.document_paths(_table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, end, label, score): personal data and secrets of all documents."""
+    return pii.detect(_table(spark, sf_dir, "documents"))

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarp.functions.eventtime import tumble_start
-from tracewarp.sources.telemetry import DAY_NS, HOUR_NS, metrics, with_views
+from tracewarp.functions.compare import percentile
+from tracewarp.functions.ddsketch import gamma, merge, quantiles, sketch
+from tracewarp.functions.eventtime import hop_starts, tumble_start
+from tracewarp.operators import graph, inference, ingest, joins, relational, windows
+from tracewarp.operators.inference import Incident
+from tracewarp.sources.telemetry import DAY_NS, HOUR_NS, changes, logs, metrics, spans, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+LATENESS_NS, GRACE_NS = 2 * HOUR_NS, HOUR_NS
 
 
 def query(oracle: str | None = None):
@@ -26,13 +31,388 @@ def query(oracle: str | None = None):
     return add
 
 
-@query(
-    with_views("metrics", f"""
+# Scans, filters, projections.
+
+
+@query(with_views("metrics", "\nSELECT * FROM metrics"))
+def scan_metrics(spark, sf_dir):
+    return metrics(spark, sf_dir)
+
+
+@query(with_views("logs changes", "\nSELECT 'log' AS signal, count(*) AS n, min(event_time) AS first_time FROM logs UNION ALL SELECT 'change', count(*), min(event_time) FROM changes"))
+def scan_logs_changes(spark, sf_dir):
+    one = lambda df, s: df.agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("first_time")).select(F.lit(s).alias("signal"), "n", "first_time")
+    return one(logs(spark, sf_dir), "log").unionByName(one(changes(spark, sf_dir), "change"))
+
+
+@query(with_views("metrics", f"""
+SELECT service, count(*) AS n FROM metrics WHERE event_time <= (SELECT min(event_time) FROM metrics) + {10 * DAY_NS} GROUP BY service"""))
+def scan_at_cursor(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    first = m.agg(F.min("event_time")).first()[0]
+    return m.where(F.col("event_time") <= first + 10 * DAY_NS).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("metrics", """
+SELECT event_id, service, name, value FROM metrics
+WHERE (service = 'svc-3' AND value > 20.0) OR (name LIKE '%lat%' AND value < 5.0)"""))
+def filter_predicates(spark, sf_dir):
+    r = relational
+    p = (r.service_is("svc-3") & r.value_above(20.0)) | (r.name_contains("lat") & r.value_below(5.0))
+    return r.select_rows(metrics(spark, sf_dir), p).select("event_id", "service", "name", "value")
+
+
+@query(with_views("metrics", "\nSELECT event_time, service, event_id, value * 1000.0 AS value_milli FROM metrics"))
+def project_scale(spark, sf_dir):
+    return relational.project(metrics(spark, sf_dir), ["event_id", ("value", "value_milli", 1000.0)])
+
+
+@query(with_views("metrics", """
+SELECT event_id, value + 1.0 AS plus, value - 1.0 AS minus, value * 2.0 AS times, value / 4.0 AS quarter
+FROM metrics WHERE name LIKE '%mem%' AND NOT (service = 'svc-1') AND value <> 7.0 AND value <= 50.0"""))
+def sql_arith_like(spark, sf_dir):
+    from tracewarp.plans.dialect import Session
+
+    s = Session(spark, {"metrics": metrics(spark, sf_dir)})
+    sql = "SELECT event_id, value + 1 AS plus, value - 1 AS minus, value * 2 AS times, value / 4 AS quarter FROM metrics WHERE name LIKE '%mem%' AND NOT service = 'svc-1' AND value <> 7 AND value <= 50"
+    return s.query(sql)
+
+
+# Aggregates and percentiles.
+
+
+@query(with_views("metrics", """
+SELECT service, name, count(value) AS count_value, round(sum(value), 6) AS sum_value, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value
+FROM metrics GROUP BY service, name"""))
+def agg_basic(spark, sf_dir):
+    out = relational.aggregate(metrics(spark, sf_dir), ["service", "name"], "value", ["count", "sum", "min", "max", "avg"])
+    return out.withColumns({c: F.round(c, 6) for c in ("sum_value", "avg_value")})
+
+
+@query(with_views("metrics", f"""
+SELECT service, event_time - event_time % {DAY_NS} AS window_start, coalesce(round(sum(CASE WHEN value > 400 THEN value END), 6), 0.0) AS sum_high
+FROM metrics GROUP BY ALL"""))
+def agg_coalesced_sum(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("high", F.when(F.col("value") > 400, F.col("value")))
+    return relational.aggregate(m, ["service"], "high", ["sum"], DAY_NS).withColumn("sum_high", F.round("sum_high", 6))
+
+
+@query(with_views("metrics", f"""
 SELECT service, event_time - event_time % {DAY_NS} AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n
-FROM metrics WHERE name LIKE '%error_rate%' GROUP BY ALL""")
-)
+FROM metrics WHERE name LIKE '%error_rate%' GROUP BY ALL"""))
 def tumble_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics(spark, sf_dir).where(F.col("name").contains("error_rate"))
-    return m.groupBy("service", tumble_start(F.col("event_time"), DAY_NS).alias("window_start")).agg(
-        F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n")
-    )
+    return m.groupBy("service", tumble_start(F.col("event_time"), DAY_NS).alias("window_start")).agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("metrics", f"""
+SELECT service, w AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n FROM (
+  SELECT service, value, unnest([event_time - event_time % {6 * HOUR_NS} - i * {6 * HOUR_NS} FOR i IN range(4)]) AS w, event_time FROM metrics)
+WHERE w >= 0 AND event_time < w + {DAY_NS} GROUP BY service, w"""))
+def hop_avg(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("window_start", F.explode(hop_starts(F.col("event_time"), DAY_NS, 6 * HOUR_NS)))
+    return m.groupBy("service", "window_start").agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("metrics", """
+SELECT service, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM metrics GROUP BY service"""))
+def exact_percentiles(spark, sf_dir):
+    return metrics(spark, sf_dir).groupBy("service").agg(*(F.round(percentile(F.col("value"), q), 6).alias(n) for n, q in windows.P.items()))
+
+
+def _sketch_sql(keys: str, source: str) -> str:
+    g = gamma()
+    est = f"2 * pow({g!r}, k) / (1 + {g!r})"
+    qs = ", ".join(f"round(least(greatest(min_by({est}, k) FILTER (upto > floor({q} * (n - 1))), min(low)), max(high)), 6) AS {p}" for p, q in windows.P.items())
+    return f""",
+b AS (SELECT {keys}, CAST(ceil(ln(value) / ln({g!r})) AS BIGINT) AS k, value FROM {source} WHERE value > 1e-9),
+c AS (SELECT {keys}, k, count(*) AS c, min(value) AS low, max(value) AS high FROM b GROUP BY {keys}, k),
+r AS (SELECT *, sum(c) OVER (PARTITION BY {keys} ORDER BY k) AS upto, sum(c) OVER (PARTITION BY {keys}) AS n FROM c)
+SELECT {keys}, CAST(max(n) AS BIGINT) AS count, {qs} FROM r GROUP BY {keys}"""
+
+
+@query(with_views("metrics", _sketch_sql("service, name", "metrics")))
+def ddsketch_percentiles(spark, sf_dir):
+    out = quantiles(sketch(metrics(spark, sf_dir), ["service", "name"], F.col("value")), windows.P)
+    return out.withColumns({p: F.round(p, 6) for p in windows.P})
+
+
+@query(with_views("metrics", _sketch_sql("service", "metrics")))
+def ddsketch_merge(spark, sf_dir):
+    """Sketches of two halves, merged."""
+    m = metrics(spark, sf_dir)
+    odd = F.col("event_id").cast("long") % 2 == 1
+    halves = [sketch(m.where(p), ["service"], F.col("value")) for p in (odd, ~odd)]
+    out = quantiles(merge(halves[0].unionByName(halves[1])), windows.P)
+    return out.withColumns({p: F.round(p, 6) for p in windows.P})
+
+
+@query(with_views("metrics", _sketch_sql("service, window_start, window_end", f"(SELECT service, value, event_time - event_time % {DAY_NS} AS window_start, event_time - event_time % {DAY_NS} + {DAY_NS} AS window_end FROM metrics WHERE name LIKE '%lat%')")))
+def window_percentiles(spark, sf_dir):
+    out = windows.window_percentiles(metrics(spark, sf_dir), DAY_NS)
+    return out.withColumns({p: F.round(p, 6) for p in windows.P})
+
+
+@query(with_views("metrics", f""",
+w AS (SELECT service, event_time - event_time % {DAY_NS} AS window_start, avg(value) AS v, count(*) AS n FROM metrics GROUP BY ALL),
+m AS (SELECT max(event_time) - {LATENESS_NS} AS wm FROM metrics)
+SELECT service, window_start, window_start + {DAY_NS} AS window_end, round(v, 6) AS value, n, window_start + {DAY_NS} <= wm AS finalized, window_start + {DAY_NS + GRACE_NS} > wm AS live FROM w, m"""))
+def window_lifecycle(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    wm = m.agg(F.max("event_time")).first()[0] - LATENESS_NS
+    return windows.lifecycle(m, DAY_NS, GRACE_NS, wm).withColumn("value", F.round("value", 6))
+
+
+@query(with_views("metrics", "\nSELECT event_id, service, name, value FROM metrics ORDER BY value DESC, event_id LIMIT 20"))
+def topk(spark, sf_dir):
+    return relational.top_rows(metrics(spark, sf_dir), [("value", True)], 20, ["event_id"]).select("event_id", "service", "name", "value")
+
+
+# Joins.
+
+
+@query(with_views("metrics changes", f"""
+SELECT m.event_id, m.service, m.event_time, c.change_id, c.change_type, c.version_after, c.event_time AS change_time, m.event_time - c.event_time AS delay_ns, m.name, m.value
+FROM metrics m LEFT JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {5 * HOUR_NS} AND m.event_time + {10 * HOUR_NS}"""))
+def interval_join_left(spark, sf_dir):
+    return joins.change_join(metrics(spark, sf_dir), changes(spark, sf_dir), 5 * HOUR_NS, 10 * HOUR_NS)
+
+
+@query(with_views("metrics changes", f"""
+SELECT m.service, m.name, m.value, c.change_id, m.event_time - c.event_time AS delay_ns
+FROM metrics m JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {5_000_000_000} AND m.event_time + {10_000_000_000}
+WHERE m.name LIKE '%lat%' ORDER BY delay_ns, change_id LIMIT 20"""))
+def sql_deploy_join(spark, sf_dir):
+    from tracewarp.plans.dialect import Session
+
+    s = Session(spark, {"metrics": metrics(spark, sf_dir), "deployments": changes(spark, sf_dir)})
+    return s.query("SELECT service, name, value, change_id, delay_ns FROM metrics JOIN deployments ON service = service WHERE name LIKE '%lat%' AND change_id <> '' ORDER BY delay_ns, change_id LIMIT 20")
+
+
+@query(with_views("metrics changes", f""",
+j AS (SELECT c.change_id, c.service, c.event_time AS ct, m.event_time AS t, m.value FROM changes c LEFT JOIN metrics m
+  ON m.service = c.service AND m.name LIKE '%lat%' AND m.event_time BETWEEN c.event_time - {DAY_NS} AND c.event_time + {DAY_NS}),
+p AS (SELECT change_id, service, ct, quantile_cont(value, 0.99) FILTER (t < ct) AS b, quantile_cont(value, 0.99) FILTER (t >= ct) AS a, count(value) FILTER (t >= ct) AS n FROM j GROUP BY ALL),
+f AS (SELECT j.change_id, min(t) AS first FROM j JOIN p USING (change_id) WHERE t >= j.ct AND value > 1.5 * greatest(coalesce(b, 0), 1) GROUP BY ALL)
+SELECT change_id, service, round(b, 6) AS p99_before, round(a, 6) AS p99_after, n AS windows, first AS first_anomaly, first - ct AS anomaly_delay_ns FROM p LEFT JOIN f USING (change_id)"""))
+def deploy_correlation(spark, sf_dir):
+    out = joins.correlation(metrics(spark, sf_dir), changes(spark, sf_dir), DAY_NS)
+    return out.withColumns({c: F.round(c, 6) for c in ("p99_before", "p99_after")})
+
+
+_HEAT = f"SELECT service, event_time - event_time % {DAY_NS} AS window_start, avg(value) AS v, count(*) AS n FROM metrics WHERE name LIKE '%lat%' OR name LIKE '%err%' OR name LIKE '%mem%' GROUP BY ALL"
+
+
+@query(with_views("metrics", f"\nSELECT service, window_start, round(v, 6) AS value, n FROM ({_HEAT})"))
+def heatmap_precomputed(spark, sf_dir):
+    from tracewarp.operators.projections import heatmap
+
+    return heatmap(metrics(spark, sf_dir), DAY_NS).select("service", "window_start", F.round("value", 6).alias("value"), "n")
+
+
+@query(with_views("metrics", _sketch_sql("service, window_start", f"(SELECT service, value, event_time - event_time % {DAY_NS} AS window_start FROM metrics WHERE name LIKE '%lat%')").replace("\nSELECT service, window_start, CAST", "\n, q AS (SELECT service, window_start, CAST") + f"""),
+h AS ({_HEAT})
+SELECT service, window_start, round(v, 6) AS avg_value, q.p99, coalesce(q.p99, round(v, 6)) AS value FROM h FULL JOIN q USING (service, window_start)"""))
+def heatmap_p99_merge(spark, sf_dir):
+    from tracewarp.operators.projections import merged_heatmap
+
+    out = merged_heatmap(metrics(spark, sf_dir), DAY_NS)
+    return out.select("service", "window_start", *(F.round(c, 6).alias(c) for c in ("avg_value", "p99", "value")))
+
+
+# Admission.
+
+_TWICE = "twice AS (SELECT *, event_time AS arrival FROM metrics UNION ALL SELECT event_id, event_time, service, name, value + 1, event_time + 5 FROM metrics WHERE CAST(event_id AS BIGINT) % 7 = 0)"
+
+
+@query(with_views("metrics", f",\n{_TWICE}\nSELECT event_id, event_time, service, name, value, arrival FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS rn FROM twice) WHERE rn = 1"))
+def dedupe_first(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    again = m.where(F.col("event_id").cast("long") % 7 == 0).withColumns({"value": F.col("value") + 1, "arrival": F.col("event_time") + 5})
+    return ingest.first_arrivals(m.withColumn("arrival", F.col("event_time")).unionByName(again), "arrival")
+
+
+_LATE = f"""late AS (SELECT *, event_time + (CAST(event_id AS BIGINT) % 5) * {HOUR_NS} AS arrival FROM metrics),
+marked AS (SELECT *, max(event_time) OVER (PARTITION BY service ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATENESS_NS} AS watermark FROM late)"""
+
+
+def _late(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("arrival", F.col("event_time") + (F.col("event_id").cast("long") % 5) * HOUR_NS)
+    return ingest.with_watermark_column(m, "service", ["arrival", "event_id"], LATENESS_NS)
+
+
+@query(with_views("metrics", f",\n{_LATE}\nSELECT event_id, service, arrival, watermark FROM marked"))
+def partition_watermark(spark, sf_dir):
+    return _late(spark, sf_dir).select("event_id", "service", "arrival", "watermark")
+
+
+@query(with_views("metrics", f""",\n{_LATE}
+SELECT service, CASE WHEN event_time <= watermark - {GRACE_NS} THEN 'beyond_grace' WHEN event_time <= watermark THEN 'late_revisable' ELSE 'on_time' END AS class, count(*) AS n FROM marked GROUP BY ALL"""))
+def late_classification(spark, sf_dir):
+    c = ingest.lateness_class(F.col("event_time"), F.col("watermark"), GRACE_NS).alias("class")
+    return _late(spark, sf_dir).groupBy("service", c).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("metrics", f",\n{_LATE}\nSELECT event_id, row_number() OVER (ORDER BY arrival, event_id) AS ingest_sequence FROM late"))
+def arrival_sequence(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("arrival", F.col("event_time") + (F.col("event_id").cast("long") % 5) * HOUR_NS)
+    return ingest.arrival_numbers(m, ["arrival", "event_id"]).select("event_id", "ingest_sequence")
+
+
+@query(f"""
+SELECT CASE event_type WHEN 'error' THEN 'log' WHEN 'signup' THEN 'deployment' ELSE 'metric' END AS signal,
+  CASE event_type WHEN 'error' THEN 'log:svc-' || CAST(user_id % 8 AS VARCHAR) WHEN 'signup' THEN 'change:svc-' || CAST(user_id % 8 AS VARCHAR) ELSE 'metric:svc-' || CAST(user_id % 8 AS VARCHAR) || ':' || event_type END AS partition_key, count(*) AS n
+FROM events GROUP BY ALL""")
+def partition_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    signal = F.when(F.col("event_type") == "error", "log").when(F.col("event_type") == "signup", "deployment").otherwise("metric")
+    service = F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string"))
+    key = ingest.partition_key(signal, service, F.col("event_type"), F.lit(None).cast("string"))
+    return e.groupBy(signal.alias("signal"), key.alias("partition_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT event_type AS signal, count(*) AS events, count(DISTINCT user_id) AS distinct_events, count(*) - count(DISTINCT user_id) AS duplicates FROM events GROUP BY event_type""")
+def ingestion_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), F.col("user_id").alias("event_id"))
+    return ingest.counts_by_signal(e)
+
+
+# Graphs and traces.
+
+_EDGES = """kids AS (
+  SELECT p.service AS source, s.service AS target, s.status, s.duration_ns FROM spans s JOIN spans p ON s.parent_span_id = p.span_id
+  WHERE p.service <> s.service AND (p.start_time_ns, p.span_id) < (s.start_time_ns, s.span_id)),
+edges AS (SELECT source, target, count(*) AS calls, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(duration_ns) AS BIGINT) AS duration_ns FROM kids GROUP BY source, target)"""
+
+
+@query(with_views("spans", f",\n{_EDGES}\nSELECT * FROM edges"))
+def service_graph(spark, sf_dir):
+    return graph.service_edges(spans(spark, sf_dir))
+
+
+@query(with_views("spans", "\nSELECT service, count(*) AS spans, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(duration_ns) AS BIGINT) AS duration_ns FROM spans GROUP BY service"))
+def service_nodes(spark, sf_dir):
+    return graph.service_nodes(spans(spark, sf_dir))
+
+
+def _few_edges(spark, sf_dir):
+    """Edges of one operation only, so that not every service reaches every other."""
+    return graph.service_edges(spans(spark, sf_dir).where("operation = 'op-1'")).where("target > source")
+
+
+@query("WITH RECURSIVE " + with_views("spans", "").removeprefix("WITH ") + """,
+few AS (SELECT * FROM spans WHERE operation = 'op-1'),
+edges AS (SELECT DISTINCT p.service AS source, s.service AS target FROM few s JOIN few p ON s.parent_span_id = p.span_id
+  WHERE p.service < s.service AND (p.start_time_ns, p.span_id) < (s.start_time_ns, s.span_id)),
+reach AS (SELECT target AS service, source AS caller FROM edges UNION SELECT r.service, e.source FROM reach r JOIN edges e ON e.target = r.caller)
+SELECT service, caller FROM reach""")
+def reverse_reachability(spark, sf_dir):
+    return graph.reach(_few_edges(spark, sf_dir))
+
+
+@query(with_views("spans", """
+SELECT s.trace_id, s.span_id, s.parent_span_id IS NOT NULL AND p.span_id IS NULL AS missing_parent, row_number() OVER (PARTITION BY s.trace_id ORDER BY s.start_time_ns, s.span_id) AS position
+FROM spans s LEFT JOIN spans p ON s.parent_span_id = p.span_id"""))
+def trace_dag(spark, sf_dir):
+    return graph.trace_spans(spans(spark, sf_dir)).select("trace_id", "span_id", "missing_parent", F.col("position").cast("long").alias("position"))
+
+
+@query(with_views("spans", """
+SELECT s.trace_id, count(*) AS span_count, bool_or(s.parent_span_id IS NOT NULL AND p.span_id IS NULL) AS incomplete
+FROM spans s LEFT JOIN spans p ON s.parent_span_id = p.span_id GROUP BY s.trace_id"""))
+def trace_list(spark, sf_dir):
+    return graph.traces(spans(spark, sf_dir))
+
+
+def _some_spans(spark, sf_dir):
+    return spans(spark, sf_dir).where(F.substring("trace_id", 2, 20).cast("long") % 20 == 0)
+
+
+@query(with_views("spans", """,
+few AS (SELECT * FROM spans WHERE CAST(substr(trace_id, 2) AS BIGINT) % 20 = 0),
+t AS (SELECT trace_id, list_sort(list(DISTINCT service)) AS services, coalesce(bool_or(status = 'error'), false) AS failed FROM few GROUP BY trace_id),
+rt AS (SELECT trace_id, operation, start_time_ns, end_time_ns - start_time_ns AS envelope, row_number() OVER (PARTITION BY trace_id ORDER BY end_time_ns - start_time_ns DESC, span_id) AS rn
+  FROM (SELECT s.*, p.span_id AS pid FROM few s LEFT JOIN (SELECT span_id FROM few) p ON s.parent_span_id = p.span_id) WHERE pid IS NULL),
+r AS (SELECT t.*, rt.operation, rt.start_time_ns, rt.envelope FROM t JOIN rt ON t.trace_id = rt.trace_id AND rn = 1),
+c AS (SELECT f.trace_id AS failed_trace_id, h.trace_id, h.envelope, h.start_time_ns,
+    len(list_intersect(f.services, h.services)) / len(list_distinct(list_concat(f.services, h.services))) AS sim
+  FROM r f JOIN r h ON f.failed AND NOT h.failed AND f.operation = h.operation),
+k AS (SELECT *, row_number() OVER (PARTITION BY failed_trace_id ORDER BY start_time_ns DESC, trace_id) AS rn FROM c WHERE sim >= 0.5),
+g AS (SELECT failed_trace_id, list(trace_id ORDER BY rn) AS cohort, list(trace_id ORDER BY envelope, trace_id) AS by_length, avg(sim) * least(count(*) / 3.0, 1.0) AS confidence FROM k WHERE rn <= 20 GROUP BY failed_trace_id)
+SELECT r.trace_id AS failed_trace_id, operation, array_to_string(coalesce(cohort, []), ' ') AS cohort, by_length[len(by_length) // 2 + 1] AS median_trace_id, round(coalesce(confidence, 0.0), 6) AS confidence
+FROM r LEFT JOIN g ON r.trace_id = g.failed_trace_id WHERE failed"""))
+def healthy_cohort(spark, sf_dir):
+    out = graph.healthy_cohorts(_some_spans(spark, sf_dir))
+    return out.withColumns({"cohort": F.array_join("cohort", " "), "confidence": F.round("confidence", 6)})
+
+
+@query()
+def critical_path(spark, sf_dir):
+    return graph.critical_paths(spans(spark, sf_dir))
+
+
+@query()
+def trace_compare(spark, sf_dir):
+    s = _some_spans(spark, sf_dir)
+    pairs = graph.healthy_cohorts(s).where("median_trace_id is not null").select("failed_trace_id", F.col("median_trace_id").alias("healthy_trace_id"))
+    return graph.compare_traces(s, pairs)
+
+
+# Inference.
+
+
+def incident(spark, sf_dir) -> Incident:
+    """The tables as one incident."""
+    i = F.lit("all").alias("incident_id")
+    lg = logs(spark, sf_dir).select(i, "event_id", "event_time", "service", F.col("severity").alias("severity_text"), F.lit(None).cast("int").alias("severity_number"))
+    return Incident(metrics(spark, sf_dir).select(i, "*"), spans(spark, sf_dir).select(i, "*"), lg, changes(spark, sf_dir).select(i, "*"))
+
+
+_Z = """s AS (SELECT *, list(value) OVER (PARTITION BY service, name ORDER BY event_time, event_id ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) AS b FROM metrics),
+m AS (SELECT *, CASE WHEN len(b) >= 5 THEN list_median(b) END AS med FROM s),
+d AS (SELECT *, list_transform(b, lambda x: abs(x - med)) AS dev FROM m),
+z AS (SELECT event_id, service, name, event_time, value, coalesce(len(b), 0) AS baseline_n, CASE WHEN len(b) >= 5 THEN greatest(least(
+    CASE WHEN list_median(dev) > 0 THEN 0.6745 * (value - med) / list_median(dev) WHEN list_avg(dev) > 0 THEN 0.7979 * (value - med) / list_avg(dev)
+         WHEN abs(value - med) <= 1e-9 THEN 0.0 ELSE sign(value - med) * 8.0 END, 8.0), -8.0) END AS z FROM d)"""
+
+
+@query(with_views("metrics", f",\n{_Z}\nSELECT event_id, service, name, baseline_n, round(z, 6) AS z FROM z"))
+def robust_z(spark, sf_dir):
+    out = inference.robust_z(metrics(spark, sf_dir), ["service", "name"])
+    return out.select("event_id", "service", "name", F.col("baseline_n").cast("long").alias("baseline_n"), F.round("z", 6).alias("z"))
+
+
+@query(with_views("metrics", f""",
+{_Z},
+high AS (SELECT *, abs(z) >= 3 AS hot, row_number() OVER (PARTITION BY service, name ORDER BY event_time, event_id) AS i FROM z WHERE z IS NOT NULL),
+pairs AS (SELECT service, name, event_time AS start_ns, lead(hot) OVER (PARTITION BY service, name ORDER BY i) AS next_hot, hot FROM high)
+SELECT service, min(start_ns) AS onset_ns FROM pairs WHERE hot AND next_hot GROUP BY service"""))
+def onsets(spark, sf_dir):
+    """The first anomaly of a service begins at the first of two successive samples far off, so it needs no state machine."""
+    iv = inference.anomaly_intervals(inference.robust_z(incident(spark, sf_dir).metrics))
+    return inference.onsets(iv).select("service", "onset_ns")
+
+
+@query()
+def anomaly_intervals(spark, sf_dir):
+    return inference.anomaly_intervals(inference.robust_z(incident(spark, sf_dir).metrics))
+
+
+@query()
+def rank_candidates(spark, sf_dir):
+    out = inference.rank_candidates(inference.features(incident(spark, sf_dir)))
+    return out.select("service", "rank", *(F.round(c, 9).alias(c) for c in ("score", *inference.WEIGHTS, "persistence")))
+
+
+@query()
+def evidence(spark, sf_dir):
+    return inference.evidence(inference.rank_candidates(inference.features(incident(spark, sf_dir)))).drop("refs")
+
+
+@query()
+def evidence_graph(spark, sf_dir):
+    data = incident(spark, sf_dir)
+    iv = inference.anomaly_intervals(inference.robust_z(data.metrics)).persist()
+    nodes, edges = inference.evidence_graph(inference.rank_candidates(inference.features(data, iv)), iv)
+    return edges

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import written
+from tracewarp.llm.common import map_arrow, written
 from tracewarp.llm.topk import BLOCK, best, matrix, merged, pairs, shards, unit, vectors
 
 BOOKS, ENTRIES, BEAM = 8, 256, 8
@@ -54,7 +54,7 @@ def _sums(vecs: DataFrame, dim: int, books: list[np.ndarray], book: np.ndarray)
         total = sum(np.frombuffer(x, np.float64) for x in t["t"].to_pylist())
         return pa.table({"t": pa.array([total.tobytes()], pa.binary())})
 
-    rows = vecs.select("v").mapInArrow(part, "t binary").withColumn("g", F.spark_partition_id() % 16)
+    rows = map_arrow(vecs.select("v"), part, "t binary").withColumn("g", F.spark_partition_id() % 16)
     got = sum(np.frombuffer(bytes(r.t), np.float64) for r in rows.groupBy("g").applyInArrow(add, "t binary").collect())
     got = got.reshape(len(book), dim + 1)
     return got[:, :dim], got[:, dim]

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
-from tracewarp.llm.common import quoted, text_chunks, unused
+from tracewarp.llm.common import map_arrow, quoted, text_chunks, unused
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a chunk, and pre-tokens that a worker remembers.
-CHUNK, REMEMBERED = 2_000_000, 400_000
+CHUNK, REMEMBERED = 1_000_000, 150_000
 UNKNOWN = "�".encode()
 
 
@@ -128,7 +128,7 @@ def _with(docs: DataFrame, source: str, out: dict, vocabulary: str, make) -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(codec, values)], [*keep, *out])
 
     schema = StructType([*(src.schema[c] for c in keep), *(StructField(n, t) for n, t in out.items())])
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:

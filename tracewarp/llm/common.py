@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000.
+ARROW_ROWS = 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -76,16 +81,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside those of the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, whatever the length of the texts, and a worker that is trimmed after each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default, not a choice of the user's
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+    def trimmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def text_chunks(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[tuple[int, list]]:
     """(offset, texts) runs of an Arrow batch of at most ``chars`` characters, or of one text if that is longer."""
     start, size, out = 0, 0, []
-    for i, t in enumerate(batch.column(column).to_pylist()):
-        n = len(t) if t else 0
-        if out and size + n > chars:
-            yield start, out
-            start, size, out = i, 0, []
-        out.append(t)
-        size += n
+    for first in range(0, batch.num_rows, 256):
+        for i, t in enumerate(batch.column(column).slice(first, 256).to_pylist(), first):
+            n = len(t) if t else 0
+            if out and size + n > chars:
+                yield start, out
+                start, size, out = i, 0, []
+            out.append(t)
+            size += n
     if out:
         yield start, out
 

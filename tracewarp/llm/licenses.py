@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import quoted, text_chunks, written
+from tracewarp.llm.common import map_arrow, quoted, text_chunks, written
 
 THRESHOLD = 0.6
 #: Cosine from which a text is a notice and nothing else.
@@ -135,7 +135,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(df), pa.string()), "n": pa.array(list(df.values()), pa.int64())})
 
     src = docs.select(quoted(text_col).cast("string").alias("t")).where("t is not null")
-    got = {r.w: r.n for r in src.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    got = {r.w: r.n for r in map_arrow(src, run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return got.pop("", 0), got
 
 
@@ -152,7 +152,7 @@ def own_licenses(files: DataFrame, model: Model, id_col: str, path_col: str, tex
                 cols = [pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[0] for f in found], pa.float64()), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["id", "path", "license", "score", "whole"])
 
-    return src.mapInArrow(run, "id long, path string, license string, score double, whole boolean")
+    return map_arrow(src, run, "id long, path string, license string, score double, whole boolean")
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracewarp.llm.common import new_path, quoted, unused, written
+from tracewarp.llm.common import map_arrow, new_path, quoted, unused, written
 from tracewarp.llm.cuckoo import Cuckoo, CuckooFull
 
 SHARDS = 256
@@ -93,6 +93,10 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone)], dtype=object)
 
 
+#: Not deterministic by name alone, so that the plan computes it once and not in a filter too.
+_without = _without.asNondeterministic()
+
+
 class LineIndex:
     """The lines of the documents inserted so far. ``path`` is a folder all executors share; by default a new one."""
 
@@ -136,7 +140,7 @@ class LineIndex:
         rows = changes.select("shard", "h1", "h2", "op", F.lit(None).cast("binary").alias("filter")).unionByName(
             self.filters().select("shard", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(9).alias("op"), "filter")
         )
-        filters = rows.repartition(self._tasks(), "shard").mapInArrow(_change, self.FILTERS)
+        filters = map_arrow(rows.repartition(self._tasks(), "shard"), _change, self.FILTERS)
         old, self.version = self.version, self.version + 1
         try:
             refs.write.mode("overwrite").parquet(self._at("refs"))
@@ -153,7 +157,7 @@ class LineIndex:
         rows = keys.select("shard", "h1", "h2", F.lit(None).cast("binary").alias("filter")).unionByName(
             self.filters().select("shard", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "filter")
         )
-        maybe = rows.repartition(self._tasks(), "shard").mapInArrow(_ask, "h1 long, h2 long")
+        maybe = map_arrow(rows.repartition(self._tasks(), "shard"), _ask, "h1 long, h2 long")
         return maybe.join(self.refs().select("h1", "h2"), ["h1", "h2"], "left_semi")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import quoted, unused, written
+from tracewarp.llm.common import map_arrow, quoted, unused, written
 
 #: Token shares are raised to this power and scaled to sum to 1, where no targets are given.
 TEMPER = 0.7
@@ -83,7 +83,7 @@ def _sums(table: DataFrame, n: int, index: dict[tuple[int, str], int], lam: np.n
             i, j = (np.concatenate([at[k[q]] for k in np.ndindex(n, n)]) for q in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(np.tile(w, n * n))], ["i", "j", "w"])
 
-    rows = table.mapInArrow(run, "i long, j long, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).collect()
+    rows = map_arrow(table, run, "i long, j long, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).collect()
     h = np.zeros((len(lam), len(lam)))
     for r in rows:
         h[r.i, r.j] += r.w

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import quoted, text_chunks
+from tracewarp.llm.common import map_arrow, quoted, text_chunks
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
 O, EMAIL, PHONE, CARD, IP, SECRET = range(len(LABELS))
@@ -311,7 +311,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
         names = sorted(m.index, key=m.index.get)
         yield pa.RecordBatch.from_pydict({"names": pa.array([names]), "w": pa.array([np.concatenate([m.emit.ravel(), m.step.ravel(), m.skip.ravel()]).tobytes()], pa.binary())})
 
-    r = found.repartition(1).mapInArrow(run, "names array<string>, w binary").first()
+    r = map_arrow(found.repartition(1), run, "names array<string>, w binary").first()
     if r is None:
         return train(examples())
     w, n, k = np.frombuffer(bytes(r.w)), len(r.names), len(LABELS)
@@ -337,4 +337,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                         ["doc_id", "start", "end", "label", "score"],
                     )
 
-    return src.mapInArrow(run, SCHEMA)
+    return map_arrow(src, run, SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewarp.llm.common import quoted, text_chunks
+from tracewarp.llm.common import map_arrow, quoted, text_chunks
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     src = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
     found = src.join(F.broadcast(good), F.col("__doc") == F.col("__id")).select("__id", "__label", "__text")
-    rows = found.mapInArrow(_feature_batches, "id long, label int, feature array<int>, value array<float>")
+    rows = map_arrow(found, _feature_batches, "id long, label int, feature array<int>, value array<float>")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary())})
 
     # Many small tasks make the features; one reads them, as the updates are sequential.
-    got = rows.repartition(1).mapInArrow(run, "w binary").collect()
+    got = map_arrow(rows.repartition(1), run, "w binary").collect()
     return np.frombuffer(bytes(got[0].w), np.float32) if got else None
 
 
@@ -152,7 +152,7 @@ def scored(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*keep, out])
 
     schema = StructType([*(src.schema[c] for c in keep), StructField(out, DoubleType())])
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import connected_components, partitions_for, quoted, text_chunks, unused, written
+from tracewarp.llm.common import connected_components, map_arrow, partitions_for, quoted, text_chunks, unused, written
 
 BITS = 128
 #: (word, shift, width) of each segment; no segment crosses a 64-bit word.
 SEGMENTS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 22), (1, 22, 21), (1, 43, 21))
 MAX_DISTANCE = 3 * len(SEGMENTS) - 1
 #: Rows of a partition of the bucket table; it is sorted in memory.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 700_000
 #: Buckets of more entries than this give a forest.
 FOREST_FROM = 48
 STRIP = ".,;:!?"
@@ -76,7 +76,7 @@ def fingerprint_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        for at, texts in text_chunks(b, 1, 2_000_000):
+        for at, texts in text_chunks(b, 1, 1_000_000):
             fp, ok = fingerprint_texts(texts)
             fp = fp[ok].view(np.int64)
             ids = b.column(0).slice(at, len(texts)).filter(pa.array(ok))
@@ -88,7 +88,7 @@ def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0, f1) of each document with an id and at least one word."""
     src = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    return src.where("id is not null and text is not null").mapInArrow(_fingerprint_batches, "id long, f0 long, f1 long")
+    return map_arrow(src.where("id is not null and text is not null"), _fingerprint_batches, "id long, f0 long, f1 long")
 
 
 def ball_keys(fp: np.ndarray) -> np.ndarray:
@@ -190,8 +190,8 @@ def near_edges(entries: DataFrame) -> DataFrame:
     """(a, b) id pairs whose transitive closure is that of all pairs of ``entries`` (id, f0, f1) within the distance."""
     spark = entries.sparkSession
     n = partitions_for(spark, entries.count() * (BITS + len(SEGMENTS)), BUCKET_ROWS)
-    table = entries.mapInArrow(_ball_batches, "key long, id long, f0 long, f1 long")
-    return table.repartition(n, "key").mapInArrow(_edge_batches, "a long, b long")
+    table = map_arrow(entries, _ball_batches, "key long, id long, f0 long, f1 long")
+    return map_arrow(table.repartition(n, "key"), _edge_batches, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import quoted, written
+from tracewarp.llm.common import map_arrow, quoted, written
 
 SHARD = 8192
 #: Queries of a product at a time: bounds its memory to BLOCK x SHARD scores.
@@ -72,7 +72,7 @@ def shards(vecs: DataFrame, dim: int, pack: Callable[[np.ndarray, np.ndarray], d
             yield pa.RecordBatch.from_pydict({k: pa.array([x], pa.int32() if k == "s" else pa.binary()) for k, x in packed.items()})
 
     placed = vecs.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("s"), "id", "v").repartition(n, "s")
-    return written(placed.mapInArrow(run, f"s int, ids binary, {fields}"), "shards"), n
+    return written(map_arrow(placed, run, f"s int, ids binary, {fields}"), "shards"), n
 
 
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def pairs(packed: DataFrame, n: int, k: int, search: Callable[[dict, dict], Iter
                     {"q": pa.array([x["s"]], pa.int32()), "s": pa.array([y["s"]], pa.int32())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in row.items()}
                 )
 
-    return left.crossJoin(right).mapInArrow(run, LISTS)
+    return map_arrow(left.crossJoin(right), run, LISTS)
 
 
 def merged(lists: DataFrame, n: int, k: int) -> DataFrame:
@@ -140,7 +140,7 @@ def merged(lists: DataFrame, n: int, k: int) -> DataFrame:
                     ["query_id", "rank", "neighbour_id", "score"],
                 )
 
-    return lists.mapInArrow(spread, "query_id long, rank long, neighbour_id long, score double")
+    return map_arrow(lists, spread, "query_id long, rank long, neighbour_id long, score double")
 
 
 def top_k(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarp.llm.common import new_path, quoted, release, written
+from tracewarp.llm.common import map_arrow, new_path, quoted, release, written
 
 PIECE = 1 << 20
 LEVEL, MONOLITHIC_LEVEL = 4, 1
@@ -171,7 +171,7 @@ def normalise(spark: SparkSession, files: DataFrame, out_dir: str, path_col: str
                 if entries:
                     yield pa.RecordBatch.from_pylist(entries, schema=_INDEX_SCHEMA)
 
-    return written(paths.repartition(n).mapInArrow(run, INDEX), "warc-index")
+    return written(map_arrow(paths.repartition(n), run, INDEX), "warc-index")
 
 
 def sidecars(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -226,7 +226,7 @@ def write_monolithic(pages: DataFrame, out_dir: str, id_col: str = "page_id", ur
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{out_dir.rstrip('/')}/{name}"]})
 
-    return written(src.mapInArrow(run, "path string"), "warc-files")
+    return written(map_arrow(src, run, "path string"), "warc-files")
 
 
 def read_pages(index: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def read_pages(index: DataFrame) -> DataFrame:
                 )
 
     found = index.where(F.col("offset").isNotNull()).select("file", "offset", "length", "payload_length", "payload_md5")
-    return found.mapInArrow(run, "page_id long, url string, html string, payload_length long, payload_md5 string")
+    return map_arrow(found, run, "page_id long, url string, html string, payload_length long, payload_md5 string")
 
 
 def through_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,12 +159,13 @@ def features(data: Incident, intervals: DataFrame | None = None) -> DataFrame:
     key = ["incident_id", "service"]
     intervals = (anomaly_intervals(robust_z(data.metrics.where("service is not null"))) if intervals is None else intervals).persist()
     on = onsets(intervals)
-    spans = _scoped(data.spans)
+    # Read several times below: kept beside the executors' other data, spilled to disk where it doesn't fit.
+    spans = _scoped(data.spans.select("incident_id", *graph._NEEDED, "duration_ns", "peer_service")).persist(StorageLevel.DISK_ONLY)
     nodes = _unscoped(graph.service_nodes(spans).select("service"), "service")
     services = nodes.select(*key)
-    for df in (data.metrics, data.spans, data.logs, data.changes):
-        services = services.union(df.select(*key))
-    services = services.where("service is not null").distinct()
+    for df in (data.metrics, _unscoped(spans.select("service"), "service"), data.logs, data.changes):
+        services = services.union(df.select(*key).where("service is not null").distinct())
+    services = services.distinct()
 
     # Traces: presence in failed ones, and time on critical paths beyond that in healthy ones.
     flat = _unscoped(spans.select("trace_id", "service", "status"), "trace_id", "service")

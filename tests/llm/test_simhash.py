@@ -97,3 +97,14 @@ def test_rows_that_repeat_an_id_link_the_groups_of_their_texts(spark):
 def test_empty_table(spark):
     assert got(S.near_duplicates(docs(spark, []))) == []
     assert S.keep_one(docs(spark, [])).count() == 0
+
+
+def test_groups_give_all_keys_of_the_balls():
+    fp = np.random.default_rng(4).integers(0, 2**63, (50, 2), dtype=np.uint64) * np.uint64(2)
+    groups, found = S.group_numbers(fp), {i: set() for i in range(50)}
+    for g in np.unique(groups):
+        at = np.flatnonzero((groups == g).any(1))
+        for row, key in zip(*S.group_keys(int(g), fp[at])):
+            assert key not in found[at[row]]
+            found[at[row]].add(key)
+    assert all(found[i] == set(k) for i, k in enumerate(S.ball_keys(fp)))

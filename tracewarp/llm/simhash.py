@@ -3,8 +3,8 @@
 A fingerprint has 128 bits: the signs of the sum of a pseudo-random +-1 vector per distinct word, weighted by
 1 + ln(count). It is cut into six segments of 21 or 22 bits. Two fingerprints within 17 bits differ by at most 2 in
 some segment (six segments with 3 or more would make 18), so the radius-1 Hamming balls around their values of that
-segment meet. Each fingerprint is put into a table under every value of its balls (134 rows), one shuffle brings
-equal values together, and each bucket's pairs are verified by their whole distance. The search is exact up to
+segment meet. Each fingerprint is put into a table under every value of its balls, one shuffle brings equal values
+together, and each bucket's pairs are verified by their whole distance. The search is exact up to
 ``MAX_DISTANCE``: it finds what comparing all pairs would find.
 
 Fingerprints that are equal are one entry, so exact copies add nothing to the buckets; a bucket with many entries
@@ -29,8 +29,11 @@ BITS = 128
 #: (word, shift, width) of each segment; no segment crosses a 64-bit word.
 SEGMENTS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 22), (1, 22, 21), (1, 43, 21))
 MAX_DISTANCE = 3 * len(SEGMENTS) - 1
-#: Rows of a partition of the bucket table; it is sorted in memory.
-BUCKET_ROWS = 700_000
+#: Leading bits of a segment that choose its group. All values of a ball that differ in other bits are in one group, so
+#: an entry is sent once for them, and once for each leading bit flipped: 66 rows an entry for 134 bucket values.
+PREFIX = 10
+#: Rows of a partition of the sent table; it is sorted in memory, and expanded a group at a time.
+SENT_ROWS = 500_000
 #: Buckets of more entries than this give a forest.
 FOREST_FROM = 48
 STRIP = ".,;:!?"
@@ -101,15 +104,39 @@ def ball_keys(fp: np.ndarray) -> np.ndarray:
     return np.concatenate(cols, axis=1)
 
 
-def _ball_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def group_numbers(fp: np.ndarray) -> np.ndarray:
+    """(n, 66) int64 groups that an entry is sent to: a segment and the leading bits of the values of its ball there."""
+    cols = []
+    for s, (word, shift, width) in enumerate(SEGMENTS):
+        top = ((fp[:, word] >> np.uint64(shift + width - PREFIX)) & np.uint64((1 << PREFIX) - 1)).astype(np.int64)
+        flips = np.concatenate([[0], 1 << np.arange(PREFIX, dtype=np.int64)])
+        cols.append((top[:, None] ^ flips[None, :]) | (s << 32))
+    return np.concatenate(cols, axis=1)
+
+
+def group_keys(group: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and bucket keys of a group's entries: those of :func:`ball_keys` whose leading bits are the group's."""
+    s, top = group >> 32, group & ((1 << PREFIX) - 1)
+    word, shift, width = SEGMENTS[s]
+    low = width - PREFIX
+    v = ((fp[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+    # An entry with other leading bits has used its one flip on them.
+    rest = (v & ((1 << low) - 1)) | (top << low) | (s << 32)
+    same = np.flatnonzero(v >> low == top)
+    flips = 1 << np.arange(low, dtype=np.int64)
+    rows = np.concatenate([np.arange(len(v)), np.repeat(same, low)])
+    return rows, np.concatenate([rest, (rest[same][:, None] ^ flips[None, :]).ravel()])
+
+
+def _sent_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for at in range(0, b.num_rows, 1000):
             c = b.slice(at, 1000)
             cols = [c.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            keys = ball_keys(np.stack(cols[1:], axis=1).view(np.uint64))
-            n = keys.shape[1]
+            groups = group_numbers(np.stack(cols[1:], axis=1).view(np.uint64))
+            n = groups.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *(pa.array(np.repeat(x, n)) for x in cols)], ["key", "id", "f0", "f1"]
+                [pa.array(groups.ravel()), *(pa.array(np.repeat(x, n)) for x in cols)], ["g", "id", "f0", "f1"]
             )
 
 
@@ -180,18 +207,21 @@ def _edge_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in it if b.num_rows]
     if not parts:
         return
-    key, ids, f0, f1 = (np.concatenate(x) for x in zip(*parts))
+    group, ids, f0, f1 = (np.concatenate(x) for x in zip(*parts))
     del parts
-    e = bucket_edges(key, ids, np.stack([f0, f1], axis=1).view(np.uint64))
-    yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+    order = np.argsort(group, kind="stable")
+    group, ids, fp = group[order], ids[order], np.stack([f0[order], f1[order]], axis=1).view(np.uint64)
+    for start, end in zip(cuts := np.flatnonzero(np.diff(group, prepend=-1)), [*cuts[1:], len(group)]):
+        rows, keys = group_keys(int(group[start]), fp[start:end])
+        e = bucket_edges(keys, ids[start:end][rows], fp[start:end][rows])
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
 def near_edges(entries: DataFrame) -> DataFrame:
     """(a, b) id pairs whose transitive closure is that of all pairs of ``entries`` (id, f0, f1) within the distance."""
-    spark = entries.sparkSession
-    n = partitions_for(spark, entries.count() * (BITS + len(SEGMENTS)), BUCKET_ROWS)
-    table = map_arrow(entries, _ball_batches, "key long, id long, f0 long, f1 long")
-    return map_arrow(table.repartition(n, "key"), _edge_batches, "a long, b long")
+    n = partitions_for(entries.sparkSession, entries.count() * len(SEGMENTS) * (1 + PREFIX), SENT_ROWS)
+    table = map_arrow(entries, _sent_batches, "g long, id long, f0 long, f1 long")
+    return map_arrow(table.repartition(n, "g"), _edge_batches, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,6 +62,31 @@ def test_recall_of_additive_quantisation(spark):
     assert np.mean([len(want[q] & have[q]) / len(want[q]) for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("dense", [A.DENSE, 2.0])
+def test_full_shards_and_groups_of_copies_lose_nothing(spark, monkeypatch, dense):
+    """A shard of 8,000, with 400 near copies and 300 exact ones, and so more than are compared at first."""
+    monkeypatch.setattr(A, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    n = 8000 if dense < 1 else 2000
+    v = rng.normal(size=(n, 64))
+    v[100:500] = v[100] + rng.normal(size=(400, 64)) * 0.01
+    v[500:800] = v[500]
+    rows = list(enumerate(v.tolist()))
+    df = frame(spark, rows).cache()
+    assert same(got(A.neighbours(df)), got(T.top_k(df)))
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(1)
+    u, books = T.unit(rng.normal(size=(500, 8))), rng.normal(size=(2, 16, 8)).astype(np.float32) * 0.5
+    codes, norms = A.encode(u, books)
+    total = sum(books[m][codes[:, m]] for m in range(2))
+    score = u @ u.T
+    least = np.sort(score, axis=1)[:, -20]
+    open_ = A.reachable((2 * u @ total.T - norms).astype(np.float32), norms, A.errors(u, codes, books), least)
+    assert open_[score >= least[:, None]].all() and not open_.all()
+
+
 def test_beam_is_no_worse_than_greedy_and_norms_fit():
     rng = np.random.default_rng(3)
     x, books = rng.normal(size=(300, 8)), rng.normal(size=(4, 16, 8)).astype(np.float32)

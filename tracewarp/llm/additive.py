@@ -3,8 +3,9 @@
 A vector is coded as one entry of each of ``BOOKS`` full-dimensional codebooks, whose sum approximates it. Codebook m
 is the k-means of what codebooks before m leave over, computed over all vectors by distributed Lloyd steps. Encoding
 is a beam search over the books. A query scores a code by adding looked-up products of the query with the chosen
-entries, and the stored norm of the sum; the ``RERANK`` best codes of each shard are then compared exactly, and the
-lists of the shards are merged in a tree.
+entries, and the stored norm of the sum. The ``RERANK`` best codes of each shard are compared exactly, which gives a
+score that the k-th nearest has at least; then every code that can still reach it is compared exactly, as the stored
+length of the vector's quantisation error bounds its score. The lists of the shards are merged in a tree.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from tracewarp.llm.topk import BLOCK, best, matrix, merged, pairs, shards, unit,
 
 BOOKS, ENTRIES, BEAM = 8, 256, 8
 LLOYD_STEPS = 4
-#: Codes of each shard that are compared exactly, per query.
+#: Codes of each shard that are compared exactly at first, per query.
 RERANK = 128
+#: What single precision and the rounding of scores may take from a bound.
+SLACK = 1e-5
+#: Share of a shard's codes from which on the exact scores of all are computed as one product.
+DENSE = 0.02
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -104,11 +109,30 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norms
 
 
+def errors(u: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Lengths of what the codes leave over of the rows."""
+    left = u.copy()
+    for m, book in enumerate(books):
+        left -= book[codes[:, m]]
+    return np.sqrt((left * left).sum(1)).astype(np.float32)
+
+
+def reachable(approx: np.ndarray, norms: np.ndarray, error: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which codes' vectors can have a score of ``least`` (queries,) or more, by ``approx`` (queries, codes).
+
+    A unit query q and a vector x of code c have q.x <= q.c + |x - c|, and |q - x| >= |q - c| - |x - c|; approx is
+    2 q.c - |c|^2 = 1 - |q - c|^2.
+    """
+    far = np.sqrt(np.maximum(2 - 2 * least, 0) + SLACK).astype(np.float32)[:, None] + error
+    low = 2 * (least[:, None].astype(np.float32) - error) - norms
+    return (approx >= np.maximum(1 - far * far, low) - SLACK) & (approx > -np.inf)
+
+
 def neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, neighbour_id, score): for every vector about its k nearest others by cosine, best first.
+    """(query_id, rank, neighbour_id, score): for every vector its k nearest others by cosine, best first.
 
-    Scores are exact; a neighbour may be missing where its code misleads. What rows take part, ties, repeated rows,
-    small and empty tables are as in :func:`tracewarp.llm.topk.top_k`.
+    Codes only rule out what can't be among the nearest, so the result is that of
+    :func:`tracewarp.llm.topk.top_k`, also in what rows take part, ties, repeated rows, small and empty tables.
     """
     found, dim = vectors(df, id_col, vec_col)
     vecs = written(found, "vectors")
@@ -117,15 +141,15 @@ def neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str
     def pack(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
         u = unit(v)
         codes, norms = encode(u, books)
-        return {"v": u.tobytes(), "codes": codes.tobytes(), "norms": norms.tobytes()}
+        return {"v": u.tobytes(), "codes": codes.tobytes(), "norms": norms.tobytes(), "errors": errors(u, codes, books).tobytes()}
 
-    packed, n = shards(vecs, dim, pack, "v binary, codes binary, norms binary")
+    packed, n = shards(vecs, dim, pack, "v binary, codes binary, norms binary, errors binary")
 
     def search(x: dict, y: dict):
         qi, si = np.frombuffer(x["ids"], np.int64), np.frombuffer(y["ids"], np.int64)
         q, s = (np.frombuffer(z["v"], np.float64).reshape(-1, dim) for z in (x, y))
         codes = np.ascontiguousarray(np.frombuffer(y["codes"], np.uint8).reshape(-1, BOOKS).T)
-        norms = np.frombuffer(y["norms"], np.float32)
+        norms, error = (np.frombuffer(y[c], np.float32) for c in ("norms", "errors"))
         for at in range(0, len(qi), BLOCK):
             part = q[at : at + BLOCK]
             table = 2 * np.einsum("qd,mkd->mqk", part.astype(np.float32), books, optimize=True)
@@ -138,6 +162,19 @@ def neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str
             cand = np.argpartition(approx, len(si) - r, axis=1)[:, len(si) - r :]
             exact = np.einsum("qd,qrd->qr", part, s[cand])
             exact[np.take_along_axis(approx, cand, 1) == -np.inf] = -np.inf
+            if r < len(si):
+                least = np.partition(exact, r - k, axis=1)[:, r - k] if r >= k else np.full(len(part), -1.0)
+                open_ = reachable(approx, norms, error, np.maximum(least, -1.0))
+                most = int(open_.sum(1).max())
+                if most > DENSE * len(si):
+                    exact = part @ s.T
+                    exact[~open_] = -np.inf
+                    yield qi[at : at + BLOCK], *best(si, exact, k)
+                    continue
+                # Those that can reach the score, the first of each row, filled up with others.
+                cand = np.argpartition(~open_, most - 1, axis=1)[:, :most] if most else cand
+                exact = np.einsum("qd,qrd->qr", part, s[cand])
+                exact[~np.take_along_axis(open_, cand, 1)] = -np.inf
             yield qi[at : at + BLOCK], *best(si[cand], exact, k)
 
     return merged(pairs(packed, n, k, search), n, k)

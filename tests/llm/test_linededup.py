@@ -99,6 +99,21 @@ def test_batches_and_deletion_are_reversible(spark):
     assert out(again.insert(docs(spark, [(20, "x\ny\nw")]))) == [(20, "x")]
 
 
+def test_a_line_passes_to_its_next_holder(spark):
+    index = LineIndex(spark)
+    a, b, c = [(1, "L\nx")], [(2, "y\n L"), (4, "L\ny")], [(3, "L\nz")]
+    index.insert(docs(spark, a))
+    assert out(index.insert(docs(spark, b))) == [(2, "y")]
+    assert out(index.insert(docs(spark, c))) == [(3, "z")]
+    place = lambda df: sorted((r.doc_id, r.pos) for r in df.collect())
+    assert place(index.delete(spark.createDataFrame([(4,)], "doc_id long"))) == []
+    assert place(index.delete(spark.createDataFrame([(1,)], "doc_id long"))) == [(2, 1)]
+    assert out(index.texts(docs(spark, b[:1] + c))) == [(2, "y\n L"), (3, "z")]
+    assert out(index.insert(docs(spark, [(5, "L\nq")]))) == [(5, "q")]
+    assert place(index.delete(spark.createDataFrame([(2,)], "doc_id long"))) == [(3, 0)]
+    assert out(index.texts(docs(spark, c + [(5, "L\nq")]))) == [(3, "L\nz"), (5, "q")]
+
+
 def test_filters_grow_with_the_index(spark):
     index = LineIndex(spark)
     first, second = ([(i, f"{w}{i}") for i in range(n)] for w, n in (("a", 300), ("b", 3000)))

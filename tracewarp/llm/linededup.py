@@ -2,13 +2,15 @@
 
 An index holds, by shard of the line's 128-bit hash,
 
-* ``refs``: the exact reference table, a row per (line, document), whose number of rows is the line's count;
+* ``refs``: the exact reference table, a row per (line, document), whose number of rows is the line's count, with the
+  batch that brought it and its place in the text: the first by batch, document and place is the one that keeps the line;
 * ``filters``: a cuckoo filter of the lines present, a blob per shard.
 
 Inserting a batch of documents asks the filters which of its lines may be known; only those are looked up in the
 reference table. Known lines go from the batch, and of lines repeated within it the first stays, in the order of
 document id and position. Deleting documents drops their references, and takes lines left without any out of the
-filters, so a batch inserted and deleted leaves the index as it was. Each change writes a new version of the tables
+filters, so a batch inserted and deleted leaves the index as it was. A line whose keeper goes passes to its next holder,
+which gets it back. Each change writes a new version of the tables
 and then a mark; an index is opened at its last marked version, so a change that was cut short didn't happen.
 """
 
@@ -100,7 +102,8 @@ _without = _without.asNondeterministic()
 class LineIndex:
     """The lines of the documents inserted so far. ``path`` is a folder all executors share; by default a new one."""
 
-    REFS = "shard int, h1 long, h2 long, doc long, batch int"
+    REFS = "shard int, h1 long, h2 long, doc long, batch int, th long, pos int"
+    RESTORED = "doc_id long, text_hash long, pos int"
     FILTERS = "shard int, filter binary"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -118,7 +121,7 @@ class LineIndex:
         return f"{self.path}/{what}/{self.version}"
 
     def refs(self) -> DataFrame:
-        """(shard, h1, h2, doc, batch): which documents hold which lines."""
+        """(shard, h1, h2, doc, batch, th, pos): which documents hold which lines, and where first."""
         if not self.version:
             return self.spark.createDataFrame([], self.REFS)
         return self.spark.read.schema(self.REFS).parquet(self._at("refs"))
@@ -186,9 +189,10 @@ class LineIndex:
             .select("doc", "th", "gone")
         )
         old = self.refs()
-        fresh = occ.select("shard", "h1", "h2", "doc").distinct().withColumn("batch", F.lit(self.version + 1))
+        fresh = occ.groupBy("shard", "h1", "h2", "doc").agg(F.min(F.struct("th", "pos")).alias("at"))
+        fresh = fresh.select("shard", "h1", "h2", "doc", F.lit(self.version + 1).alias("batch"), "at.th", "at.pos")
         if self.version:
-            fresh = fresh.join(old.select("h1", "h2", "doc"), ["h1", "h2", "doc"], "left_anti").select("shard", "h1", "h2", "doc", "batch")
+            fresh = fresh.join(old.select("h1", "h2", "doc"), ["h1", "h2", "doc"], "left_anti").select(old.columns)
             kept_keys = old.select("shard", "h1", "h2").distinct().withColumn("op", F.lit(0))
             changes = kept_keys.unionByName(keys.where("not known").select("shard", "h1", "h2", F.lit(1).alias("op")))
             fresh = old.unionByName(fresh)
@@ -207,16 +211,35 @@ class LineIndex:
         j = j.withColumn(text_col, F.when(some, cut).otherwise(quoted(text_col)))
         return j.where(~some | quoted(text_col).rlike(r"[^ \n]")).select(*map(quoted, docs.columns))
 
-    def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        """Takes documents out, by id: their references, and lines left without any from the filters. Unknown and null ids are no matter."""
+    @staticmethod
+    def _keepers(refs: DataFrame) -> DataFrame:
+        """(h1, h2, keeper): of each line the reference that keeps it."""
+        return refs.groupBy("h1", "h2").agg(F.min(F.struct("batch", "doc", "th", "pos")).alias("keeper"))
+
+    def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The texts that documents of the index have in it now, of their original ones: as :meth:`insert` returns them."""
+        keeps = self._keepers(self.refs()).select("h1", "h2", "keeper.doc", "keeper.th", "keeper.pos")
+        gone = lines_of(docs, id_col, text_col).join(keeps, ["h1", "h2", "doc", "th", "pos"], "left_anti")
+        return self._apply(docs, gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")), id_col, text_col)
+
+    def delete(self, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """Takes documents out, by id: their references, and lines left without any from the filters. Unknown and null ids are no matter.
+
+        Lines that they kept pass to their next holders. Returns (doc_id, text_hash, pos) of these: the documents, by id
+        and the xxhash64 of their texts, that get back the line at ``pos`` of their original texts; :meth:`texts` does it.
+        """
         if not self.version:
-            return
+            return self.spark.createDataFrame([], self.RESTORED)
         gone = ids.select(F.col(id_col).cast("long").alias("doc")).where(f"doc is not null and doc != {_LAST_ID}").distinct()
         refs = self.refs()
-        left = written(refs.join(gone, "doc", "left_anti").select("shard", "h1", "h2", "doc", "batch"), "refs")
+        left = written(refs.join(gone, "doc", "left_anti").select(refs.columns), "refs")
         lost = refs.join(gone, "doc", "left_semi").select("shard", "h1", "h2").distinct()
         lost = lost.join(left.select("h1", "h2"), ["h1", "h2"], "left_anti").select("shard", "h1", "h2", F.lit(-1).alias("op"))
+        passed = self._keepers(refs).join(gone, F.col("keeper.doc") == gone["doc"], "left_semi").select("h1", "h2")
+        heirs = self._keepers(left).join(passed, ["h1", "h2"]).select("keeper.*")
+        restored = written(heirs.select(F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id"), F.col("th").alias("text_hash"), "pos"), "restored")
         self._write(left, lost)
+        return restored
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

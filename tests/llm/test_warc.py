@@ -67,6 +67,15 @@ def test_round_trip_with_edge_cases(spark):
     assert W.through_archive(frame(spark, [])).count() == 0
 
 
+def test_heads_of_any_length(spark, monkeypatch):
+    rows = [(1, "https://a/" + "x" * 3_000_000, "a"), (2, "\n" + "é" * 1_000_000, "b"), (3, "u", "c")]
+    got = W.through_archive(frame(spark, rows).coalesce(1)).collect()
+    assert sorted((r.page_id, r.url, r.html) for r in got) == rows
+    monkeypatch.setattr(W, "normalise_stream", lambda f, out: iter([{"ordinal": 0, "type": W.DAMAGED, "record_id": "why"}]))
+    with pytest.raises(RuntimeError, match="damaged at record 0: why"):
+        W.through_archive(frame(spark, rows[2:]))
+
+
 def test_sidecars_equal_the_index_and_names_may_clash(spark, tmp_path):
     for d in "ab":
         (tmp_path / d).mkdir()

@@ -68,7 +68,7 @@ class _Reader:
         return True
 
     def head(self) -> bytes | None:
-        """Bytes to the empty line that ends a record's head, with it; None at the end of the stream."""
+        """Bytes to the empty line that ends a record's head, however long, with it; None at the end of the stream."""
         while True:
             skip = len(self.have) - len(self.have.lstrip(b"\r\n"))
             if skip:
@@ -80,7 +80,7 @@ class _Reader:
         at = 0
         while (end := self.have.find(b"\r\n\r\n", at)) < 0:
             at = max(0, len(self.have) - 3)
-            if len(self.have) > PIECE or not self.more():
+            if not self.more():
                 raise ValueError("a record's head doesn't end")
         out = bytes(self.have[: end + 4])
         del self.have[: end + 4]
@@ -157,15 +157,16 @@ def normalise(spark: SparkSession, files: DataFrame, out_dir: str, path_col: str
             for path in b.column(0).to_pylist():
                 fs, p = filesystem(path)
                 name, tmp = hashlib.md5(path.encode()).hexdigest(), uuid.uuid4().hex
-                target, entries = f"{out_dir.rstrip('/')}/{name}.warc.gz", []
+                target, entries, chars = f"{out_dir.rstrip('/')}/{name}.warc.gz", [], 0
                 with fs.open_input_stream(p, compression=None) as f, to.open_output_stream(f"{base}/.{tmp}.gz", compression=None) as o, to.open_output_stream(f"{base}/.{tmp}.idx") as side:
                     for e in normalise_stream(f, o):
                         e = {"file": target, "source": path} | e
                         side.write(json.dumps(e).encode() + b"\n")
                         entries.append(e)
-                        if len(entries) == 10_000:
+                        chars += len(e.get("uri") or "")
+                        if len(entries) == 10_000 or chars > 32 * PIECE:
                             yield pa.RecordBatch.from_pylist(entries, schema=_INDEX_SCHEMA)
-                            entries = []
+                            entries, chars = [], 0
                 to.move(f"{base}/.{tmp}.gz", f"{base}/{name}.warc.gz")
                 to.move(f"{base}/.{tmp}.idx", f"{base}/{name}.idx")
                 if entries:
@@ -176,7 +177,7 @@ def normalise(spark: SparkSession, files: DataFrame, out_dir: str, path_col: str
 
 def sidecars(spark: SparkSession, out_dir: str) -> DataFrame:
     """The index as its sidecar files have it."""
-    return spark.read.schema(INDEX).json(f"{out_dir.rstrip('/')}/*.idx")
+    return spark.read.schema(INDEX).option("mode", "FAILFAST").option("maxStringLen", 2**31 - 1).json(f"{out_dir.rstrip('/')}/*.idx")
 
 
 def read_member(f, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -257,11 +258,13 @@ def through_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """The pages after archiving, normalising and reading each record by its sidecar entry: rows as in :func:`read_pages`.
 
     Every row comes back as it was, nulls, repeats and empty texts included (a null html counts as an empty payload);
-    other columns are left out. An empty table gives none.
+    other columns are left out. An empty table gives none. An archive that can't be read to its end is a RuntimeError.
     """
     spark = pages.sparkSession
     mono, out = new_path(spark, "monolithic"), new_path(spark, "warc")
     files = write_monolithic(pages, mono, id_col, url_col, html_col)
     index = normalise(spark, files, out)
+    if bad := index.where(F.col("type") == DAMAGED).first():
+        raise RuntimeError(f"the archive {bad.source} is damaged at record {bad.ordinal}: {bad.record_id}")
     release(spark, mono)
     return read_pages(sidecars(spark, out)) if index.limit(1).count() else read_pages(index)

@@ -68,6 +68,31 @@ def test_equals_brute_force_on_a_table(spark):
     assert planted == {r[0] for r in out if r[2] in ("header", "file")} and planted
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Much is for you quickly. Licensed under CC\nBY-NC 4.0. More about all of it", "CC-BY-NC-4.0"), ("Released under the\nMIT License.", "MIT"),
+        ("// Notes\n// Permission is hereby granted, free of charge,\n// to any\n// person obtaining a copy of this software\n//\n// and associated\n// documentation files\n// Thanks", "MIT"),
+        ("\n".join(["Foo", *L.words(L.TEMPLATES[2][1]), "bar"]), "Apache-2.0"),
+    ],
+)
+def test_wrapped_notices(text, want):
+    assert L.Model(10, {}).header(text) == (1.0, want)
+    assert L.Model(10, {}).header("word\n" * 1000 + text + "\nword" * 1000) == (1.0, want)
+
+
+def test_windows_equal_trying_all():
+    import random
+
+    r, model = random.Random(3), L.Model(50, {"the": 40, "license": 9})
+    pool = [*sorted(L.VOCABULARY), "foo", "foo", "bar"]
+    for _ in range(60):
+        t = L.words(r.choice(L.TEMPLATES)[1])
+        lines = [[r.choice(t) if r.random() < 0.7 else r.choice(pool) for _ in range(r.randint(1, 4))] for _ in range(12)]
+        every = [model.cosine(" ".join(w for x in lines[i:j] for w in x)) for i in range(12) for j in range(i + 2, 13)]
+        assert model._best(model._windows(lines)) == model._best(every)
+
+
 def test_nearest_ancestor(spark):
     rows = [
         (1, "LICENSE", "My project." + MIT), (2, "a/x.c", "code"), (3, "a/b/COPYING.txt", GPL), (4, "a/b/c/d/y.c", ""), (5, "a/b/z.c", "int z;\n//" + APACHE),

@@ -2,8 +2,8 @@
 
 A template is the wording of a notice. Texts are compared with templates in the space of the templates' words, weighted
 by counts of documents over the whole corpus; a word of no template weighs as the templates' average. Every line of a
-text, every sentence of it and every run of lines that could each belong to a notice is compared. The words of little
-weight are no sign of a notice: as long as they alone can't bring any template over the threshold, lines without
+text, every sentence of a line or of a paragraph, every run of lines that could each belong to a notice, and every window
+of up to ``LONGEST`` lines with words is compared. The words of little weight are no sign of a notice: as long as they alone can't bring any template over the threshold, lines without
 another template word can be passed over, which loses nothing.
 
 Files without a licence of their own take that of the nearest directory above them that holds a licence file. The
@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,10 @@ def words(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(w for _, t in TEMPLATES for w in words(t))
+#: Words of the longest template, and so the most lines with words that it can be wrapped into.
+LONGEST = max(len(words(t)) for _, t in TEMPLATES)
+#: Windows by their first lines that are bounded at a time.
+STARTS = 256
 
 
 class Model:
@@ -88,6 +93,9 @@ class Model:
                 break
             left, weak = took, weak | {w}
         self.signs = VOCABULARY - weak
+        self.column = {w: i for i, w in enumerate(self.idf)}
+        self.weights = np.array(list(self.idf.values()))
+        self.matrix = np.array([[t.get(w, 0.0) for w in self.idf] for _, t in self.templates]).T
 
     def cosine(self, text: str) -> tuple[float, str]:
         """The largest cosine of the text with a template, and the template's licence; of equal ones the first by name."""
@@ -100,12 +108,20 @@ class Model:
         return min(found, key=lambda f: (-f[0], f[1]))
 
     def header(self, text: str | None) -> tuple[float, str] | None:
-        """The best licence of a line, sentence or run of lines that reaches the threshold."""
+        """The best licence of a line, sentence, run or window of lines that reaches the threshold."""
         if not text or self.signs.isdisjoint(words(text)):
             return None
-        units, run = set(), []
+        units, run, paragraph, found = set(), [], [], []
         for line in [*text.split("\n"), ""]:
-            if self.signs.isdisjoint(words(line)):
+            in_line = words(line)
+            if in_line:
+                paragraph.append(line)
+                found.append(in_line)
+            else:
+                if len(paragraph) > 1:
+                    units.update(s for s in SENTENCE.split(" ".join(paragraph)) if not self.signs.isdisjoint(words(s)))
+                paragraph = []
+            if self.signs.isdisjoint(in_line):
                 if len(run) > 1:
                     units.add("\n".join(run))
                 run = []
@@ -113,7 +129,45 @@ class Model:
             run.append(line)
             units.add(line)
             units.update(s for s in SENTENCE.split(line) if not self.signs.isdisjoint(words(s)))
-        return self._best(self.cosine(u) for u in units)
+        return self._best([*(self.cosine(u) for u in units), *self._windows(found)])
+
+    def _windows(self, lines: list[list[str]]) -> list[tuple[float, str]]:
+        """The best cosines of windows of 2 to ``LONGEST`` of the lines (words of each) with a sign: those bounded below them are left out.
+
+        A window's length is at least that of its words as if no word outside the vocabulary came twice. Windows that
+        end in a line without a template word are worse than without it.
+        """
+        n = len(lines)
+        sign = np.concatenate([[0], np.cumsum([not self.signs.isdisjoint(x) for x in lines])])
+        some = np.array([not VOCABULARY.isdisjoint(x) for x in lines], bool)
+        first = np.arange(n)
+        starts = first[some & (sign[np.minimum(first + LONGEST, n)] > sign[:-1])]
+        found, best = [], self.threshold
+        breaks = np.flatnonzero(np.diff(starts) > LONGEST) + 1
+        for near in np.split(starts, breaks):
+            for at in range(0, len(near), STARTS):
+                part = near[at : at + STARTS]
+                low, high = int(part[0]), min(n, int(part[-1]) + LONGEST)
+                count = np.zeros((high - low + 1, len(self.weights) + 1))
+                for i, x in enumerate(lines[low:high], 1):
+                    for w in x:
+                        count[i, self.column.get(w, -1)] += 1
+                count = count.cumsum(0)
+                bounds = []
+                for size in range(2, LONGEST + 1):
+                    a = part[part + size <= n]
+                    a = a[some[a + size - 1] & (sign[a + size] > sign[a])]
+                    if len(a):
+                        c = count[a + size - low] - count[a - low]
+                        x = c[:, :-1] * self.weights
+                        bound = (x @ self.matrix).max(1) / np.sqrt((x * x).sum(1) + c[:, -1] * self.other**2) + 1e-8
+                        bounds += [(b, i, i + size) for b, i in zip(bound.tolist(), a.tolist()) if b >= best]
+                for b, i, j in sorted(bounds, reverse=True):
+                    if b < best:
+                        break
+                    found.append(self.cosine(" ".join(w for x in lines[i:j] for w in x)))
+                    best = max(best, found[-1][0])
+        return found
 
     def whole(self, text: str | None) -> bool:
         return bool(text) and self.cosine(text)[0] >= WHOLE

@@ -48,13 +48,17 @@ def test_intervals(data):
     assert got == sorted(want)
 
 
-def test_ranking(ranked):
+def test_ranking(ranked, data):
     rows = ranked.orderBy("rank").collect()
     for r, (service, score, f) in zip(rows, GOLDEN, strict=True):
         assert r.service == service and r.score == pytest.approx(score, abs=1e-6)
         assert [r[n] for n in inference.WEIGHTS] == pytest.approx(f, abs=1e-9)
         assert sum(c["product"] for c in r.contributions) == pytest.approx(r.score)
-    assert len(rows[0].failed_traces) == 8
+    assert rows[0].covered == 8
+    refs = inference.evidence_refs(ranked, data, inference.intervals_of(data), top=1).collect()
+    found = {k: sorted(r.ref for r in refs if r.type == k) for k in {r.type for r in refs}}
+    assert found["FailedTraceCoverage"] == found["CriticalPathIncrease"] == [f"trace-{t}-0" for t in (10, 11, 12, 13, 14, 15, 8, 9)]
+    assert found["DeploymentProximity"] == ["c-deploy-rec-1"] and found["LogTemplateSpike"] == ["l-rec-mem-1"] and len(found["MetricAnomaly"]) == 22
 
 
 def test_edges_and_reach(data):
@@ -69,7 +73,7 @@ def test_evidence_is_stable_and_its_graph_complete(spark, data, ranked):
     first = [r.type for r in inference.evidence(ranked).where("rank = 1").collect()]
     assert sorted(first) == sorted(["MetricAnomaly", "TemporalPrecedence", "FailedTraceCoverage", "CriticalPathIncrease", "DependencyPropagation", "DeploymentProximity", "LogTemplateSpike"])
     iv = inference.anomaly_intervals(inference.robust_z(data.metrics))
-    nodes, edges = (x.collect() for x in inference.evidence_graph(ranked, iv))
+    nodes, edges = (x.collect() for x in inference.evidence_graph(ranked, data, iv))
     ids = {n.id for n in nodes}
     assert len(nodes) == 3 + 6 + 3 + 1 + 1 and all(e.source in ids and e.target in ids for e in edges)
     assert {(e.source, e.target) for e in edges if e.kind == "PropagatesTo"} == {("deg:recommendationservice", "deg:checkoutservice"), ("deg:recommendationservice", "deg:frontend"), ("deg:checkoutservice", "deg:frontend")}
@@ -191,11 +195,13 @@ def test_converters(spark, tmp_path):
     (case / "metrics.json").write_text(json.dumps({f"{s}_cpu": [[1_700_000_000 + i, None if i == 3 else i] for i in range(30)] for s in ("cart", "front")}))
     ids = [f"t{i}" for i in range(40)]
     (case / "traces.csv").write_text("traceID,spanID,serviceName,operationName,startTime,duration,statusCode,parentSpanID\n" + "".join(f"{t},s{t},cartservice,get,1700000000000000,1500,{i % 2},\n" for i, t in enumerate(ids)))
-    (case / "logs.csv").write_text("timestamp,container_name,message\n" + "".join(f"{1_700_000_000_000_000_000 + i},front,{'request failed' if i % 50 == 0 else 'fine'} {i}\n" for i in range(5000)))
+    (case / "logs.csv").write_text("timestamp,container_name,message\n" + "".join(f"{1_700_000_000 + i // 100}.{i % 100:02},front,{'request failed' if i % 50 == 0 else 'fine'} {i}\n" for i in range(5000)))
     d = incidents.load(spark, [fixtures.convert_recording(str(case), str(tmp_path / "out"), "re-1", "cart", "cpu")])
     assert d.metrics.count() == 58 and d.changes.count() == 0
     assert {r.trace_id for r in d.spans.collect()} == {t for t in ids if fixtures.keep_trace(t)} and {r.service for r in d.spans.collect()} <= {"cart"}
-    assert d.logs.count() == fixtures.LOG_CAP and d.logs.where("severity_text = 'ERROR'").count() == 100
+    times = [r[0] for r in d.logs.selectExpr("min(event_time)").union(d.logs.selectExpr("max(event_time)")).collect()]
+    assert times[0] == 1_700_000_000 * fixtures.SECOND and 49 * fixtures.SECOND < times[1] - times[0] < 50 * fixtures.SECOND
+    assert not (tmp_path / "scenario").exists() and d.logs.count() == fixtures.LOG_CAP and d.logs.where("severity_text = 'ERROR'").count() == 100
     with pytest.raises(FileNotFoundError):
         fixtures.convert_scenario(str(case), str(tmp_path / "out"))
     (case / "scenario.json").write_text(json.dumps({k: 1 for k in fixtures.REQUIRED_SCENARIO[:-1]}))
@@ -203,4 +209,14 @@ def test_converters(spark, tmp_path):
         fixtures.convert_scenario(str(case), str(tmp_path / "out"))
     full = {k: 1 for k in fixtures.REQUIRED_SCENARIO} | {"fault_start_unix": 1_700_000_000, "fault_end_unix": 1_700_000_100, "ground_truth_root_cause_service": "cart", "ground_truth_fault_type": "cpu", "expected_affected_services": ["front"]}
     (case / "scenario.json").write_text(json.dumps(full))
+    (case / "inject_time.txt").unlink()
+    before = sorted(p.name for p in case.iterdir())
     assert incidents.labels(fixtures.convert_scenario(str(case), str(tmp_path / "out")))["fault_end_time_ns"] == 1_700_000_100 * fixtures.SECOND
+    assert sorted(p.name for p in case.iterdir()) == before
+
+
+def test_incidents_of_one_name_in_two_datasets_stay_apart(spark, tmp_path):
+    rows = fixtures.memory_incident()
+    paths = [fixtures.write_incident(str(tmp_path / d / "v1" / "with space%20é"), d, f"inc-{d}", {k: v[: 10 * n] for k, v in rows.items()}, {"root_cause_services": ["a"], "fault_type": "f"}) for n, d in ((1, "A"), (2, "B"))]
+    got = {r.incident_id: r["count"] for r in incidents.load(spark, paths).metrics.groupBy("incident_id").count().collect()}
+    assert got == {"inc-A": 10, "inc-B": 20}

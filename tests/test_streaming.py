@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewarp.operators import inference, windows
+from tracewarp.operators import inference, projections, windows
 from tracewarp.sources import fixtures
 from tracewarp.streaming import windows as S
+from tracewarp.streaming.arrivals import adversarial
 from tracewarp.streaming.tracker import BufferFull, Tracker
 
 SEC = 1_000_000_000
@@ -53,8 +54,8 @@ def test_append_mode_equals_batch(spark, tmp_path, run):
 
 def test_revisions_end_with_the_batch_result(spark, tmp_path, run):
     data = rows(30)
-    df = S.with_event_ts(source(spark, tmp_path, [data[:11], data[11:], [("end", 1000 * SEC, "a", "x", 0.0)], [("end2", 2000 * SEC, "a", "x", 0.0)]]), 2 * SEC)
-    out = run(S.revisions(df, S.AverageRevisions(5 * SEC, SEC)), "revisions", "update")
+    df = source(spark, tmp_path, [data[:11], data[11:], [("end", 1000 * SEC, "a", "x", 0.0)], [("end2", 2000 * SEC, "a", "x", 0.0)]])
+    out = run(S.revisions(df, S.AverageRevisions(5 * SEC, SEC), 2 * SEC), "revisions", "update")
     last = {}
     for r in out.collect():
         assert r.revision > last.get(r.window_start, r)[5] if r.window_start in last else r.revision >= 1
@@ -66,8 +67,8 @@ def test_revisions_end_with_the_batch_result(spark, tmp_path, run):
 
 def test_percentile_revisions_equal_the_sketch(spark, tmp_path, run):
     data = [(f"e{i}", BASE + i * SEC // 10, "a", "a_latency", float((i * 37) % 101) - 3) for i in range(200)]
-    df = S.with_event_ts(source(spark, tmp_path, [data[:90], data[90:]]), 60 * SEC)
-    out = run(S.revisions(df, S.PercentileRevisions(5 * SEC, SEC)), "quantiles", "update")
+    df = source(spark, tmp_path, [data[:90], data[90:]])
+    out = run(S.revisions(df, S.PercentileRevisions(5 * SEC, SEC), 60 * SEC), "quantiles", "update")
     last = {r.window_start: r for r in sorted(out.collect(), key=lambda r: r.revision)}
     want = windows.window_percentiles(spark.createDataFrame(data, SCHEMA), 5 * SEC).collect()
     assert len(want) == 4
@@ -75,6 +76,28 @@ def test_percentile_revisions_equal_the_sketch(spark, tmp_path, run):
         assert [last[w.window_start][p] for p in windows.P] == pytest.approx([w[p] for p in windows.P]) and last[w.window_start]["count"] == w["count"]
 
 
+def test_rows_within_grace_revise_and_rows_beyond_dont(spark, tmp_path, run):
+    at = lambda i, t: (f"e{i}", BASE + t * SEC, "a", "a_latency", float(i))
+    df = source(spark, tmp_path, [[at(1, 5)], [at(2, 16)], [at(3, 6)], [at(4, 200)], [at(5, 7)]])
+    out = run(S.revisions(df, S.AverageRevisions(10 * SEC, 60 * SEC), SEC), "graceful", "update")
+    got = [(r["count"], r.value, r.finalized, r.late) for r in out.where(f"window_start = {BASE}").orderBy("revision").collect()]
+    # Row 3 comes at a watermark of 15 s, after the window was final; row 5 at one of 199 s.
+    assert got == [(1, 1.0, False, False), (1, 1.0, True, False), (2, 2.0, True, True)]
+
+
+def test_streamed_heatmap_of_adversarial_arrivals_equals_batch(spark, tmp_path, run):
+    r = __import__("random").Random(4)
+    data = [(f"e{i}", BASE + i * SEC // 8, "ab"[i % 2], f"s_{('latency', 'mem', 'cpu')[i % 3]}", float(r.randint(1, 90))) for i in range(400)]
+    batches = adversarial(data, seed=9, late_ns=20 * SEC, burst=70)
+    assert sum(map(len, batches)) > len(data) and [x for b in batches for x in b] != sorted(x for b in batches for x in b)
+    df = S.dedupe(S.with_event_ts(source(spark, tmp_path, batches), 600 * SEC)).drop("event_ts")
+    out = run(S.heatmap(source(spark, tmp_path / "once", [list(dict.fromkeys(x for x in b if x not in seen and not seen.add(x))) for seen in [set()] for b in batches]), 5 * SEC, 30 * SEC, 30 * SEC), "heat", "update")
+    assert df.isStreaming
+    batch = projections.merged_heatmap(spark.createDataFrame(data, SCHEMA), 5 * SEC)
+    key = lambda rows: sorted((r.service, r.window_start, round(r.avg_value, 9), None if r.p99 is None else round(r.p99, 9), round(r.value, 9)) for r in rows)
+    assert key(S.heatmap_cells(out).collect()) == key(batch.select("service", "window_start", "avg_value", "p99", "value").collect())
+
+
 def test_anomaly_stream_equals_batch(spark, tmp_path, run):
     m = [(r["event_id"], r["event_time_ns"], r["service"], r["name"], r["value"]) for r in fixtures.memory_incident()["metrics"]]
     cut = len(m) // 2

@@ -16,7 +16,7 @@ def report(spark, root: str) -> dict:
     from tracewarp.sources import incidents
 
     paths = [e.path for e in incidents.discover(root)]
-    feats = inference.features(incidents.load(spark, paths)).persist()
+    feats = inference.features(incidents.load(spark, paths))
     truth = incidents.labels_table(spark, paths)
     each = inference.evaluate(inference.rank_candidates(feats), truth)
     by = inference.summarise(each.join(truth.select("incident_id", "fault_type"), "incident_id"), "fault_type")

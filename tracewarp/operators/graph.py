@@ -2,106 +2,133 @@
 
 Spans are (trace_id, span_id, parent_span_id, service, operation, start_time_ns, end_time_ns, duration_ns, status,
 peer_service). What needs a trace's spans together runs over partitions sorted by trace, one pass, so that a partition
-holds one trace at a time however many there are.
+holds one trace at a time however many there are. ``by`` names further key columns, as the incident's id: graphs and
+traces of different keys are apart, and the keys come first in the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from tracewarp.tables import delete, stored
 
 SIMILAR, COHORT, SURE = 0.5, 20, 3
 
 
-def service_nodes(spans: DataFrame) -> DataFrame:
+def service_nodes(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(service, spans, errors, duration_ns); services only named as a peer have zero spans."""
-    own = spans.where("service is not null").groupBy("service").agg(
-        F.count(F.lit(1)).alias("spans"), F.sum((F.col("status") == "error").cast("long")).alias("errors"), F.sum("duration_ns").alias("duration_ns")
-    )
-    peers = spans.where("service is not null and peer_service != service").select(F.col("peer_service").alias("service")).distinct()
+    s = spans.where("service is not null")
+    one = F.struct(F.col("service").alias("service"), F.lit(1).cast("long").alias("n"), (F.col("status") == "error").cast("long").alias("e"), F.col("duration_ns").alias("d"))
     zero = F.lit(0).cast("long")
-    return own.unionByName(peers.select("service", zero.alias("spans"), zero.alias("errors"), zero.alias("duration_ns"))).groupBy("service").agg(
-        *(F.sum(c).alias(c) for c in ("spans", "errors", "duration_ns"))
-    )
+    peer = F.struct(F.col("peer_service").alias("service"), zero.alias("n"), zero.alias("e"), zero.alias("d"))
+    rows = s.select(*by, F.explode(F.when(F.col("peer_service") != F.col("service"), F.array(one, peer)).otherwise(F.array(one))).alias("x"))
+    return rows.groupBy(*by, F.col("x.service").alias("service")).agg(F.sum("x.n").alias("spans"), F.sum("x.e").alias("errors"), F.sum("x.d").alias("duration_ns"))
 
 
-def service_edges(spans: DataFrame) -> DataFrame:
+def service_edges(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(source, target, calls, errors, duration_ns): who calls whom.
 
     A span with a peer service is a call of it; any other span is a call of it by its parent's service, if that is
-    another and the parent came first (by start, then id).
+    another and the parent came first (by start, then id). Of spans that share the parent's id the last before counts.
     """
     s = spans.where("service is not null")
     named = F.col("peer_service").isNotNull() & (F.col("peer_service") != F.col("service"))
-    out = s.where(named).select(F.col("service").alias("source"), F.col("peer_service").alias("target"), "status", "duration_ns")
-    kids = s.where(~F.coalesce(named, F.lit(False)) & F.col("parent_span_id").isNotNull())
-    parents = s.select(F.col("span_id").alias("p_id"), F.col("service").alias("p_service"), F.struct("start_time_ns", "span_id").alias("p_at"))
-    found = kids.join(parents, F.col("parent_span_id") == F.col("p_id")).where("p_service != service").where(F.col("p_at") < F.struct("start_time_ns", "span_id"))
-    out = out.unionByName(found.select(F.col("p_service").alias("source"), F.col("service").alias("target"), "status", "duration_ns"))
-    return out.groupBy("source", "target").agg(
+    out = s.where(named).select(*by, F.col("service").alias("source"), F.col("peer_service").alias("target"), "status", "duration_ns")
+    # Spans are sorted together with those that name them as their parent: one shuffle, and no row grows with repeated ids.
+    at = F.struct("start_time_ns", "span_id").alias("at")
+    itself = F.struct(F.col("span_id").alias("id"), at, F.col("service").alias("parent"), F.lit(None).cast("string").alias("service"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("ns"))
+    kid = F.struct(F.col("parent_span_id").alias("id"), at, F.lit(None).cast("string").alias("parent"), "service", "status", F.col("duration_ns").alias("ns"))
+    calls = ~F.coalesce(named, F.lit(False)) & F.col("parent_span_id").isNotNull()
+    both = s.select(*by, F.explode(F.when(calls, F.array(itself, kid)).otherwise(F.array(itself))).alias("x")).select(*by, "x.*")
+    before = Window.partitionBy(*by, "id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("source", F.last("parent", ignorenulls=True).over(before)).where("service is not null and source != service")
+    out = out.unionByName(found.select(*by, "source", F.col("service").alias("target"), "status", F.col("ns").alias("duration_ns")))
+    return out.groupBy(*by, "source", "target").agg(
         F.count(F.lit(1)).alias("calls"), F.sum((F.col("status") == "error").cast("long")).alias("errors"), F.sum("duration_ns").alias("duration_ns")
     )
 
 
-def reach(edges: DataFrame) -> DataFrame:
+def reach(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(service, caller): every transitive caller of a service, itself included where it is on a cycle.
 
     Squares the relation until it stops growing, so paths double in length each round and cycles end it. The relation
-    is over services, not spans.
+    is over services, not spans. Each round is a table in the shared folder, deleted when the next one is written.
     """
-    r = edges.select(F.col("target").alias("service"), F.col("source").alias("caller")).distinct().persist()
+    r, path = stored(edges.select(*by, F.col("target").alias("service"), F.col("source").alias("caller")).distinct(), "reach")
     n = r.count()
     while True:
-        step = r.select(F.col("service").alias("mid"), F.col("caller").alias("far"))
-        wider = r.union(r.join(step, r["caller"] == step["mid"]).select("service", F.col("far").alias("caller"))).distinct().persist()
+        step = r.select(*by, F.col("service").alias("caller"), F.col("caller").alias("far"))
+        wider, wider_path = stored(r.union(r.join(step, [*by, "caller"]).select(*by, "service", F.col("far").alias("caller"))).distinct(), "reach")
+        delete(r.sparkSession, path)
         m = wider.count()
         if m == n:
             return wider
-        r, n = wider, m
+        r, path, n = wider, wider_path, m
 
 
-def trace_spans(spans: DataFrame) -> DataFrame:
-    """Spans with ``missing_parent``, and ``position`` in their trace by (start, id)."""
-    known = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("p")).distinct()
-    j = spans.join(known, (F.col("trace_id") == F.col("t")) & (F.col("parent_span_id") == F.col("p")), "left")
-    j = j.withColumn("missing_parent", F.col("parent_span_id").isNotNull() & F.col("p").isNull()).drop("t", "p")
-    return j.withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ns", "span_id")))
+def trace_spans(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Spans with ``missing_parent``, and ``position`` in their trace by (start, id).
 
-
-def traces(spans: DataFrame) -> DataFrame:
+    Each span is sent to its trace twice, as itself and as what it names as its parent; there they are sorted together,
+    so finding parents takes no join and all that follows by trace no further shuffle.
+    """
+    trace = [*by, "trace_id"]
+    whole = F.struct(*(F.col(c) for c in spans.columns))
+    none = F.when(F.lit(False), whole)
+    both = F.array(F.struct(F.col("span_id").alias("id"), F.lit(True).alias("is"), none.alias("row")), F.struct(F.col("parent_span_id").alias("id"), F.lit(False).alias("is"), whole.alias("row")))
+    placed = spans.select(*trace, F.explode(both).alias("x")).select(*trace, F.col("x.id").alias("__id"), F.col("x.is").alias("__is"), F.col("x.row").alias("__row")).repartition(*trace)
+    there = F.max("__is").over(Window.partitionBy(*trace, "__id"))
+    rows = placed.withColumn("__there", there).where(~F.col("__is")).select(*trace, "__there", "__row")
+    missing = F.col("__row.parent_span_id").isNotNull() & ~F.col("__there")
+    position = F.row_number().over(Window.partitionBy(*trace).orderBy("__row.start_time_ns", "__row.span_id"))
+    return rows.withColumns({"missing_parent": missing, "position": position}).select(*(F.col(f"__row.{c}").alias(c) for c in spans.columns if c not in trace), *trace, "missing_parent", "position").select(*spans.columns, "missing_parent", "position")
+
+
+def traces(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(trace_id, span_count, incomplete)."""
-    return trace_spans(spans).groupBy("trace_id").agg(F.count(F.lit(1)).alias("span_count"), F.max("missing_parent").alias("incomplete"))
+    return trace_spans(spans, by).groupBy(*by, "trace_id").agg(F.count(F.lit(1)).alias("span_count"), F.max("missing_parent").alias("incomplete"))
 
 
-_NEEDED = ["trace_id", "span_id", "parent_span_id", "service", "operation", "start_time_ns", "end_time_ns", "status"]
+_NEEDED = ["span_id", "parent_span_id", "service", "operation", "start_time_ns", "end_time_ns", "status"]
 
 
-def per_trace(spans: DataFrame, f: Callable[[str, list[dict]], Iterator[dict]], schema: str, fields: pa.Schema) -> DataFrame:
-    """Rows that ``f`` yields for each trace and its spans, in order of (start, id)."""
-    placed = spans.select(*_NEEDED).repartition("trace_id").sortWithinPartitions("trace_id", "start_time_ns", "span_id")
+def per_trace(spans: DataFrame, f: Callable[[list[dict]], Iterator[tuple]], schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows that ``f`` yields for each trace's spans, in order of (start, id), after the trace's keys."""
+    keys = [*by, "trace_id"]
+    placed = spans.select(*keys, *_NEEDED).repartition(*keys).sortWithinPartitions(*keys, "start_time_ns", "span_id")
+    whole = ", ".join(f"{k} string" for k in keys) + ", " + schema
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in whole.split(", "))])
+    n = len(keys)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, group, trace = [], [], None
+        out: list[tuple] = []
+        group: list[dict] = []
+        trace: tuple | None = None
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), fields)], schema=fields)
+
         for b in it:
-            for row in b.to_pylist():
-                if row["trace_id"] != trace:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:n] != trace:
                     if group:
-                        out.extend(f(trace, group))
-                    group, trace = [], row["trace_id"]
+                        out.extend((*trace, *r) for r in f(group))
+                    group, trace = [], row[:n]
                     if len(out) >= 5000:
-                        yield pa.RecordBatch.from_pylist(out, schema=fields)
-                        out = []
-                group.append(row)
+                        yield full()
+                        out.clear()
+                group.append(dict(zip(_NEEDED, row[n:])))
         if group:
-            out.extend(f(trace, group))
+            out.extend((*trace, *r) for r in f(group))
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=fields)
+            yield full()
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(run, whole)
 
 
 def critical_segments(spans: list[dict]) -> tuple[dict | None, list[tuple[int, int, dict]]]:
@@ -150,32 +177,39 @@ def critical_segments(spans: list[dict]) -> tuple[dict | None, list[tuple[int, i
     return root, sorted(found, key=lambda x: (x[0], x[2]["span_id"]))
 
 
-_PATH = pa.schema([("trace_id", pa.string()), ("service", pa.string()), ("contribution_ns", pa.int64()), ("envelope_ns", pa.int64()), ("failed", pa.bool_())])
+def _services_of(group: list[dict]) -> Iterator[tuple]:
+    """(service, contribution_ns, envelope_ns, failed, present, first) of the services that a trace has or whose time its critical path takes."""
+    root, found = critical_segments(group)
+    total: dict[str, int] = {}
+    for a, b, s in found:
+        name = s["service"] if s["service"] is not None else "unknown"
+        total[name] = total.get(name, 0) + b - a
+    present = {s["service"] for s in group} - {None}
+    failed = any(s["status"] == "error" for s in group)
+    width = max(0, root["end_time_ns"] - root["start_time_ns"]) if root else 0
+    for i, name in enumerate(sorted(total.keys() | present) or [None]):
+        yield name, total.get(name), width, failed, name in present, i == 0
 
 
-def critical_paths(spans: DataFrame) -> DataFrame:
-    """(trace_id, service, contribution_ns, envelope_ns, failed): time of each service on its traces' critical paths."""
+def trace_services(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(trace_id, service, contribution_ns, envelope_ns, failed, present, first): each trace's services.
+
+    ``contribution_ns`` is the service's time on the critical path, null where it has none; spans without a service
+    count as ``unknown``, which isn't ``present``. One row of a trace is its ``first``, so traces can be counted.
+    """
+    return per_trace(spans, _services_of, "service string, contribution_ns long, envelope_ns long, failed boolean, present boolean, first boolean", by)
 
-    def f(trace: str, group: list[dict]) -> Iterator[dict]:
-        root, found = critical_segments(group)
-        if root is None:
-            return
-        total: dict[str, int] = {}
-        for a, b, s in found:
-            name = s["service"] if s["service"] is not None else "unknown"
-            total[name] = total.get(name, 0) + b - a
-        failed = any(s["status"] == "error" for s in group)
-        for name in sorted(total):
-            yield {"trace_id": trace, "service": name, "contribution_ns": total[name], "envelope_ns": max(0, root["end_time_ns"] - root["start_time_ns"]), "failed": failed}
 
-    return per_trace(spans, f, "trace_id string, service string, contribution_ns long, envelope_ns long, failed boolean", _PATH)
+def critical_paths(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(trace_id, service, contribution_ns, envelope_ns, failed): time of each service on its traces' critical paths."""
+    return trace_services(spans, by).where("contribution_ns is not null").drop("present", "first")
 
 
 def roots(spans: DataFrame) -> DataFrame:
     """(trace_id, operation, start_time_ns, envelope_ns, services, failed): a trace by its widest root, ties by id."""
     root = F.col("parent_span_id").isNull() | F.col("missing_parent")
     width = F.col("end_time_ns") - F.col("start_time_ns")
-    out = trace_spans(spans).groupBy("trace_id").agg(
+    out = trace_spans(spans.select("trace_id", *_NEEDED)).groupBy("trace_id").agg(
         F.min(F.when(root, F.struct((-width).alias("w"), "span_id", "operation", "start_time_ns"))).alias("r"),
         F.sort_array(F.collect_set("service")).alias("services"),
         F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed"),
@@ -183,14 +217,20 @@ def roots(spans: DataFrame) -> DataFrame:
     return out.where("r is not null").select("trace_id", "r.operation", "r.start_time_ns", F.greatest(-F.col("r.w"), F.lit(0)).alias("envelope_ns"), "services", "failed")
 
 
+def _prefix(services: Column) -> Column:
+    """Of a sorted set as many members, from the first on, that any set at least ``SIMILAR`` to it shares one of them."""
+    n = F.size(services)
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(services, 1, (n - F.ceil(n * F.lit(SIMILAR)) + 1).cast("int")))
+
+
 def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None) -> DataFrame:
     """(failed_trace_id, operation, cohort, median_trace_id, confidence) for each failed trace.
 
     The cohort are healthy traces of the same root operation that began before the onset and share at least half of all
-    services, the newest ``COHORT``. Healthy traces are first grouped by (operation, set of services): similarity and
-    the newest of a group need no pairs of traces.
+    services, the newest ``COHORT``. Healthy traces are first grouped by (operation, set of services), so similarity and
+    the newest of a group need no pairs of traces; sets meet only where the prefixes that similar ones must share do.
     """
-    r = roots(spans).persist()
+    r = roots(spans)
     healthy = r.where(~F.col("failed")) if onset_ns is None else r.where(~F.col("failed") & (F.col("start_time_ns") < onset_ns))
     newest = F.row_number().over(Window.partitionBy("operation", "services").orderBy(F.desc("start_time_ns"), "trace_id"))
     groups = healthy.withColumn("n", newest).where(F.col("n") <= COHORT).groupBy("operation", "services").agg(
@@ -199,7 +239,10 @@ def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None) -> DataFrame:
     failed = r.where("failed").select(F.col("trace_id").alias("failed_trace_id"), F.col("operation").alias("op"), F.col("services").alias("own"))
     kinds = failed.select("op", "own").distinct()
     both = F.size(F.array_intersect("own", "services")) / F.greatest(F.size(F.array_union("own", "services")), F.lit(1))
-    match = kinds.join(groups, F.col("op") == F.col("operation")).withColumn("sim", F.when((F.size("own") == 0) & (F.size("services") == 0), 1.0).otherwise(both)).where(F.col("sim") >= SIMILAR)
+    sim = F.when((F.size("own") == 0) & (F.size("services") == 0), 1.0).otherwise(both)
+    sets = groups.select("operation", "services", F.explode(_prefix(F.col("services"))).alias("shared"))
+    met = kinds.select("op", "own", F.explode(_prefix(F.col("own"))).alias("shared")).join(sets.withColumnRenamed("operation", "op"), ["op", "shared"]).select("op", "own", "services").distinct()
+    match = met.withColumn("sim", sim).where(F.col("sim") >= SIMILAR).join(groups.withColumnRenamed("operation", "op"), ["op", "services"])
     member = match.select("op", "own", "sim", F.explode("members").alias("m"))
     rank = F.row_number().over(Window.partitionBy("op", "own").orderBy(F.desc("m.start_time_ns"), "m.trace_id"))
     top = member.withColumn("n", rank).where(F.col("n") <= COHORT).groupBy("op", "own").agg(
@@ -214,27 +257,24 @@ def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None) -> DataFrame:
     return out.select("failed_trace_id", F.col("op").alias("operation"), F.coalesce("cohort", F.array().cast("array<string>")).alias("cohort"), median.alias("median_trace_id"), sure.alias("confidence"))
 
 
-_SPAN_PATH = pa.schema([("trace_id", pa.string()), ("path", pa.string()), ("ordinal", pa.int64()), ("span_id", pa.string()), ("duration_ns", pa.int64()), ("critical_ns", pa.int64()), ("envelope_ns", pa.int64()), ("service", pa.string())])
+def _paths_of(group: list[dict]) -> Iterator[tuple]:
+    ids, seen = {s["span_id"]: s for s in group}, {}
+    root, found = critical_segments(group)
+    total = sum(b - a for a, b, _ in found)
+    width = max(0, root["end_time_ns"] - root["start_time_ns"]) if root else 0
+    for s in group:
+        path, at = [], s
+        while at is not None and len(path) <= len(group):
+            path.append(f"{'?' if at['service'] is None else at['service']}:{at['operation']}")
+            at = ids.get(at["parent_span_id"])
+        key = " > ".join(reversed(path))
+        n = seen[key] = seen.get(key, -1) + 1
+        yield key, n, s["span_id"], s["end_time_ns"] - s["start_time_ns"], total, width, s["service"]
 
 
 def causal_paths(spans: DataFrame) -> DataFrame:
     """Each span under its path of service:operation from the root, and its number among the trace's spans of that path."""
-
-    def f(trace: str, group: list[dict]) -> Iterator[dict]:
-        ids, seen = {s["span_id"]: s for s in group}, {}
-        root, found = critical_segments(group)
-        total = sum(b - a for a, b, _ in found)
-        width = max(0, root["end_time_ns"] - root["start_time_ns"]) if root else 0
-        for s in group:
-            path, at = [], s
-            while at is not None and len(path) <= len(group):
-                path.append(f"{'?' if at['service'] is None else at['service']}:{at['operation']}")
-                at = ids.get(at["parent_span_id"])
-            key = " > ".join(reversed(path))
-            n = seen[key] = seen.get(key, -1) + 1
-            yield {"trace_id": trace, "path": key, "ordinal": n, "span_id": s["span_id"], "duration_ns": s["end_time_ns"] - s["start_time_ns"], "critical_ns": total, "envelope_ns": width, "service": s["service"]}
-
-    return per_trace(spans, f, "trace_id string, path string, ordinal long, span_id string, duration_ns long, critical_ns long, envelope_ns long, service string", _SPAN_PATH)
+    return per_trace(spans, _paths_of, "path string, ordinal long, span_id string, duration_ns long, critical_ns long, envelope_ns long, service string")
 
 
 def compare_traces(spans: DataFrame, pairs: DataFrame) -> DataFrame:

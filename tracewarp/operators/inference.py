@@ -1,7 +1,6 @@
 """Root-cause inference: baselines, anomaly intervals, features, ranking, evidence, evaluation.
 
-All tables carry ``incident_id``, so any number of incidents is one job. Services and traces of different incidents are
-kept apart by prefixing them with the incident while the graph operators run.
+All tables carry ``incident_id``, so any number of incidents is one job; it is a key of every join and group.
 """
 
 from __future__ import annotations
@@ -10,11 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarp.operators import graph
+from tracewarp.tables import written
 
 WINDOW, WARM = 32, 5
 LIMIT = 8.0
@@ -31,7 +30,6 @@ ABLATIONS: dict[str, tuple[str, ...]] = {
     "no_topology": ("downstream_impact", "topology_consistency"), "no_change": ("change_proximity",), "no_logs": ("log_evidence",), "no_contradiction": ("contradiction_penalty",),
 }
 SERIES = ["incident_id", "service", "name"]
-_SEP = "\x01"
 
 
 def _median(sorted_array: Column) -> Column:
@@ -49,10 +47,10 @@ def robust_z(metrics: DataFrame, series: list[str] = SERIES) -> DataFrame:
     v = F.col("value")
     fine = metrics.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     w = Window.partitionBy(*series).orderBy("event_time", "event_id").rowsBetween(-WINDOW, -1)
-    b = fine.withColumn("__b", F.array_sort(F.collect_list("value").over(w)))
+    b = fine.withColumn("__b", F.sort_array(F.collect_list("value").over(w)))
     warm = F.size("__b") >= WARM
     b = b.withColumns({"baseline_n": F.size("__b"), "median": F.when(warm, _median(F.col("__b")))})
-    b = b.withColumn("__d", F.when(warm, F.array_sort(F.transform("__b", lambda x: F.abs(x - F.col("median"))))))
+    b = b.withColumn("__d", F.when(warm, F.sort_array(F.transform("__b", lambda x: F.abs(x - F.col("median"))))))
     mean = F.aggregate("__d", F.lit(0.0), lambda a, x: a + x) / F.size("__d")
     b = b.withColumns({"__mad": _median(F.col("__d")), "__mean": mean, "__x": v - F.col("median")})
     flat = F.when(F.abs("__x") <= 1e-9, 0.0).otherwise(F.signum("__x") * LIMIT)
@@ -124,12 +122,10 @@ def anomaly_intervals(scored: DataFrame, series: list[str] = SERIES) -> DataFram
 
 
 def onsets(intervals: DataFrame) -> DataFrame:
-    """(incident_id, service, onset_ns, peak_abs_z, anomalous_ns, anomaly_refs)."""
-    ordered = F.sort_array(F.collect_list(F.struct("start_ns", "name", "source_refs")))
-    out = intervals.groupBy("incident_id", "service").agg(
-        F.min("start_ns").alias("onset_ns"), F.max("peak_abs_z").alias("peak_abs_z"), F.sum(F.greatest(F.col("end_ns") - F.col("start_ns"), F.lit(0))).alias("anomalous_ns"), ordered.alias("o")
+    """(incident_id, service, onset_ns, last_ns, peak_abs_z, anomalous_ns)."""
+    return intervals.groupBy("incident_id", "service").agg(
+        F.min("start_ns").alias("onset_ns"), F.max("end_ns").alias("last_ns"), F.max("peak_abs_z").alias("peak_abs_z"), F.sum(F.greatest(F.col("end_ns") - F.col("start_ns"), F.lit(0))).alias("anomalous_ns")
     )
-    return out.withColumn("anomaly_refs", F.flatten(F.transform("o", lambda x: x["source_refs"]))).drop("o")
 
 
 @dataclass
@@ -142,71 +138,73 @@ class Incident:
     changes: DataFrame
 
 
-def _scoped(spans: DataFrame) -> DataFrame:
-    for c in ("trace_id", "span_id", "parent_span_id", "service", "peer_service"):
-        spans = spans.withColumn(c, F.when(F.col(c).isNotNull(), F.concat_ws(_SEP, "incident_id", c)))
-    return spans
+KEY = ["incident_id", "service"]
+_TRACE = ["incident_id", "trace_id"]
 
 
-def _unscoped(df: DataFrame, *columns: str) -> DataFrame:
-    first = columns[0]
-    df = df.withColumn("incident_id", F.substring_index(first, _SEP, 1))
-    return df.withColumns({c: F.when(F.contains(F.col(c), F.lit(_SEP)), F.substring_index(c, _SEP, -1)).otherwise(F.col(c)) for c in columns})
+def intervals_of(data: Incident) -> DataFrame:
+    return anomaly_intervals(robust_z(data.metrics.where("service is not null")))
+
+
+def severe(logs: DataFrame) -> DataFrame:
+    return logs.where(F.lower("severity_text").isin("error", "fatal") | (F.col("severity_number") >= 17))
+
+
+def _merged(parts: list[DataFrame], **how: Column) -> DataFrame:
+    """Rows of all parts by (incident, service), brought together by one shuffle: a column is from the part that has it."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.groupBy(*KEY).agg(*(how.get(c, F.max(c)).alias(c) for c in out.columns if c not in KEY))
 
 
 def features(data: Incident, intervals: DataFrame | None = None) -> DataFrame:
-    """A row for each service of each incident: the ten features, and what they rest on."""
-    key = ["incident_id", "service"]
-    intervals = (anomaly_intervals(robust_z(data.metrics.where("service is not null"))) if intervals is None else intervals).persist()
-    on = onsets(intervals)
-    # Read several times below: kept beside the executors' other data, spilled to disk where it doesn't fit.
-    spans = _scoped(data.spans.select("incident_id", *graph._NEEDED, "duration_ns", "peer_service")).persist(StorageLevel.DISK_ONLY)
-    nodes = _unscoped(graph.service_nodes(spans).select("service"), "service")
-    services = nodes.select(*key)
-    for df in (data.metrics, _unscoped(spans.select("service"), "service"), data.logs, data.changes):
-        services = services.union(df.select(*key).where("service is not null").distinct())
-    services = services.distinct()
+    """A row for each service of each incident: the ten features, and what they rest on.
+
+    Traces, changes and logs are counted here and named only by :func:`evidence_refs`, so that no row grows with them.
+    The passes over the telemetry are: intervals by series, spans by trace, edges, and the join of changes and logs
+    with the services; all else is as large as the services are many.
+    """
+    found = intervals_of(data) if intervals is None else intervals
+    on = written(onsets(found), "onsets")
+    # Who is there: services of any signal, peers included, with their onsets.
+    peers = data.spans.where("service is not null").select("incident_id", F.explode(F.array_compact(F.array("service", F.when(F.col("peer_service") != F.col("service"), F.col("peer_service"))))).alias("service"))
+    names = [df.select(*KEY).where("service is not null").distinct() for df in (peers, data.metrics, data.logs, data.changes)]
+    each = Window.partitionBy("incident_id")
+    base = _merged([*names, on]).withColumns({
+        "incident_onset": F.min("onset_ns").over(each), "incident_end": F.max("last_ns").over(each), "anomalous_n": F.count("onset_ns").over(each), "services_n": F.count(F.lit(1)).over(each),
+        "earlier": F.when(F.col("onset_ns").isNotNull(), F.rank().over(each.orderBy(F.col("onset_ns").asc_nulls_last())) - 1),
+    })
+    base = written(base.withColumn("at", F.coalesce("onset_ns", "incident_onset")), "services")
 
     # Traces: presence in failed ones, and time on critical paths beyond that in healthy ones.
-    flat = _unscoped(spans.select("trace_id", "service", "status"), "trace_id", "service")
-    bad = flat.groupBy("incident_id", "trace_id").agg(F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed")).where("failed").drop("failed")
-    failed_n = bad.groupBy("incident_id").agg(F.count(F.lit(1)).alias("failed_n"))
-    covered = flat.where("service is not null").join(bad, ["incident_id", "trace_id"], "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set("trace_id")).alias("failed_traces"))
-    paths = _unscoped(graph.critical_paths(spans), "trace_id", "service")
-    usual = paths.where("not failed").groupBy(*key).agg(F.avg(F.col("contribution_ns").cast("double")).alias("usual"))
-    over = F.greatest(F.col("contribution_ns") - F.coalesce("usual", F.lit(0.0)), F.lit(0.0))
-    excess = paths.where("failed").join(usual, key, "left").groupBy(*key).agg(F.sum(over).alias("excess"))
-    all_excess = excess.groupBy("incident_id").agg(F.sum("excess").alias("all_excess"))
+    paths = written(graph.trace_services(data.spans, ["incident_id"]), "trace-services")
+    usual = paths.where("not failed and contribution_ns is not null").groupBy(*KEY).agg(F.avg(F.col("contribution_ns").cast("double")).alias("usual"))
+    over = F.when(F.col("contribution_ns").isNotNull(), F.greatest(F.col("contribution_ns") - F.coalesce("usual", F.lit(0.0)), F.lit(0.0)))
+    traced = paths.where("failed").join(usual, KEY, "left").groupBy(*KEY).agg(
+        F.sum(F.col("present").cast("long")).alias("covered"), F.sum(over).alias("excess"), F.sum(F.col("first").cast("long")).alias("failed_first")
+    )
+    traced = traced.withColumns({"all_excess": F.sum("excess").over(each), "failed_n": F.sum("failed_first").over(each)}).where(F.col("service").isNotNull())
 
     # Who calls a service, directly or not, and is anomalous.
-    reach = _unscoped(graph.reach(graph.service_edges(spans)), "service", "caller")
-    theirs = on.select("incident_id", F.col("service").alias("caller"), F.col("onset_ns").alias("their_onset"))
-    own = on.select(*key, F.col("onset_ns").alias("own_onset"))
-    hit = reach.join(theirs, ["incident_id", "caller"]).join(own, key, "left").groupBy(*key).agg(
+    sick = base.where("onset_ns is not null").select(*KEY, "onset_ns")
+    reach = graph.reach(graph.service_edges(data.spans, ["incident_id"]), ["incident_id"])
+    theirs = sick.select("incident_id", F.col("service").alias("caller"), F.col("onset_ns").alias("their_onset"))
+    own = sick.select(*KEY, F.col("onset_ns").alias("own_onset"))
+    hit = reach.join(theirs, ["incident_id", "caller"]).join(own, KEY, "left").groupBy(*KEY).agg(
         F.sort_array(F.collect_set("caller")).alias("impacted"), F.sort_array(F.collect_set(F.when(F.col("their_onset") < F.col("own_onset"), F.col("caller")))).alias("preceding")
     )
 
-    ranked = on.withColumn("earlier", F.rank().over(Window.partitionBy("incident_id").orderBy("onset_ns")) - 1)
-    whole = on.groupBy("incident_id").agg(F.min("onset_ns").alias("incident_onset"), F.count(F.lit(1)).alias("anomalous_n"))
-    ends = intervals.groupBy("incident_id").agg(F.max("end_ns").alias("incident_end"))
-    n = services.groupBy("incident_id").agg(F.count(F.lit(1)).alias("services_n"))
-    base = services
-    for df, by in ((ranked, key), (covered, key), (excess, key), (hit, key), (whole, "incident_id"), (ends, "incident_id"), (failed_n, "incident_id"), (all_excess, "incident_id"), (n, "incident_id")):
-        base = base.join(df, by, "left")
-    base = base.withColumn("at", F.coalesce("onset_ns", "incident_onset"))
-
-    near = base.select(*key, "at").where("at is not null")
+    near = base.where("at is not null").select(*KEY, "at")
     delay = F.col("at") - F.col("event_time")
-    ch = near.join(data.changes.select(*key, "event_time", F.col("event_id").alias("ref")), key).where(delay.between(0, CHANGE_WINDOW_NS)).groupBy(*key).agg(
-        F.max(1 - delay / F.lit(float(CHANGE_WINDOW_NS))).alias("proximity"), F.sort_array(F.collect_list("ref")).alias("change_refs")
-    )
-    severe = F.lower("severity_text").isin("error", "fatal") | (F.col("severity_number") >= 17)
-    lg = near.join(data.logs.where(severe).select(*key, "event_time", F.col("event_id").alias("ref")), key).where(F.abs(delay) <= LOG_WINDOW_NS).groupBy(*key).agg(F.sort_array(F.collect_list("ref")).alias("log_refs"))
-    base = base.join(ch, key, "left").join(lg, key, "left")
+    ch = near.join(data.changes.select(*KEY, "event_time"), KEY).where(delay.between(0, CHANGE_WINDOW_NS)).groupBy(*KEY).agg(F.max(1 - delay / F.lit(float(CHANGE_WINDOW_NS))).alias("proximity"))
+    lg = near.join(severe(data.logs).select(*KEY, "event_time"), KEY).where(F.abs(delay) <= LOG_WINDOW_NS).groupBy(*KEY).agg(F.count(F.lit(1)).alias("logs_n"))
+    all_ = _merged([base, traced.drop("failed_first"), hit, ch, lg]).where("services_n is not null")
+    # An incident's numbers are on the rows of its failed services only.
+    all_ = all_.withColumns({"failed_n": F.max("failed_n").over(each), "all_excess": F.max("all_excess").over(each)})
 
     strings = F.array().cast("array<string>")
-    base = base.withColumns({c: F.coalesce(c, strings) for c in ("failed_traces", "impacted", "preceding", "change_refs", "log_refs", "anomaly_refs")})
-    base = base.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("anomalous_n", "failed_n", "services_n")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("peak_abs_z", "excess", "all_excess", "proximity")})
+    all_ = all_.withColumns({c: F.coalesce(c, strings) for c in ("impacted", "preceding")} | {c: F.coalesce(c, F.lit(0)) for c in ("failed_n", "covered", "logs_n")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("peak_abs_z", "excess", "all_excess", "proximity")})
     unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     size, anomalous = F.size("impacted"), F.col("onset_ns").isNotNull()
     others = F.col("anomalous_n") - anomalous.cast("int")
@@ -214,18 +212,17 @@ def features(data: Incident, intervals: DataFrame | None = None) -> DataFrame:
     f = {
         "anomaly_strength": unit(F.col("peak_abs_z") / LIMIT),
         "temporal_precedence": F.when(~anomalous, 0.0).when(F.col("anomalous_n") <= 1, 1.0).otherwise(1 - F.try_divide(F.col("earlier").cast("double"), F.col("anomalous_n") - 1)),
-        "failed_trace_coverage": F.coalesce(F.try_divide(F.size("failed_traces").cast("double"), F.col("failed_n")), F.lit(0.0)),
+        "failed_trace_coverage": F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("failed_n")), F.lit(0.0)),
         "critical_path_contribution": F.coalesce(F.try_divide(F.col("excess"), F.col("all_excess")), F.lit(0.0)),
         "downstream_impact": F.coalesce(F.try_divide(size.cast("double"), F.col("services_n") - 1), F.lit(0.0)),
         "topology_consistency": F.coalesce(F.try_divide(size.cast("double"), others), F.lit(0.0)),
         "change_proximity": F.col("proximity"),
-        "log_evidence": unit(F.size("log_refs") / F.lit(float(LOGS_FULL))),
+        "log_evidence": unit(F.col("logs_n") / F.lit(float(LOGS_FULL))),
         "persistence": F.when(span > 0, unit(F.coalesce(F.try_divide(F.col("anomalous_ns").cast("double"), span), F.lit(0.0)))).otherwise(0.0),
         "contradiction_penalty": F.when(~anomalous, (F.col("anomalous_n") > 0).cast("double")).otherwise(F.coalesce(F.try_divide(F.size("preceding").cast("double"), size), F.lit(0.0))),
     }
-    return base.select(
-        *key, *(c.alias(name) for name, c in f.items()), "onset_ns", "peak_abs_z", "incident_onset", "incident_end", "anomaly_refs", "change_refs", "log_refs", "failed_traces", "impacted", "preceding"
-    )
+    out = all_.select(*KEY, *(c.alias(name) for name, c in f.items()), "onset_ns", "peak_abs_z", "incident_onset", "incident_end", "at", "covered", "impacted", "preceding")
+    return written(out, "features")
 
 
 def score(weights: dict[str, float] = WEIGHTS) -> Column:
@@ -249,35 +246,65 @@ def _le(c: Column) -> Column:
 
 
 def evidence(ranked: DataFrame) -> DataFrame:
-    """(incident_id, rank, service, evidence_id, type, direction, strength, start_ns, end_ns, refs), for features with signal."""
-    at, end = F.coalesce("onset_ns", "incident_onset", F.lit(0)).cast("long"), F.col("incident_end")
+    """(incident_id, rank, service, evidence_id, type, direction, strength, start_ns, end_ns), for features with signal."""
+    at, end = F.coalesce("at", F.lit(0)).cast("long"), F.col("incident_end")
     end = F.coalesce(end, at)
-    none = F.array().cast("array<string>")
-    item = lambda kind, strength, until, refs, ok=None: F.struct(
-        F.lit(kind).alias("type"), F.lit("contradicts" if kind == "Contradiction" else "supports").alias("direction"), strength.alias("strength"), at.alias("start_ns"), until.alias("end_ns"), refs.alias("refs"),
+    item = lambda kind, strength, until, ok=None: F.struct(
+        F.lit(kind).alias("type"), F.lit("contradicts" if kind == "Contradiction" else "supports").alias("direction"), strength.alias("strength"), at.alias("start_ns"), until.alias("end_ns"),
         (strength > 0 if ok is None else (strength > 0) & ok).alias("there"),
     )
     c = F.col
     items = F.array(
-        item("MetricAnomaly", c("anomaly_strength"), end, c("anomaly_refs")),
-        item("TemporalPrecedence", c("temporal_precedence"), at, none, c("onset_ns").isNotNull()),
-        item("FailedTraceCoverage", c("failed_trace_coverage"), end, c("failed_traces")),
-        item("CriticalPathIncrease", c("critical_path_contribution"), end, c("failed_traces")),
-        item("DependencyPropagation", F.greatest("topology_consistency", "downstream_impact"), end, none),
-        item("DeploymentProximity", c("change_proximity"), at, c("change_refs")),
-        item("LogTemplateSpike", c("log_evidence"), end, c("log_refs")),
-        item("Contradiction", c("contradiction_penalty"), end, none),
+        item("MetricAnomaly", c("anomaly_strength"), end),
+        item("TemporalPrecedence", c("temporal_precedence"), at, c("onset_ns").isNotNull()),
+        item("FailedTraceCoverage", c("failed_trace_coverage"), end),
+        item("CriticalPathIncrease", c("critical_path_contribution"), end),
+        item("DependencyPropagation", F.greatest("topology_consistency", "downstream_impact"), end),
+        item("DeploymentProximity", c("change_proximity"), at),
+        item("LogTemplateSpike", c("log_evidence"), end),
+        item("Contradiction", c("contradiction_penalty"), end),
     )
     e = ranked.select("incident_id", "rank", "service", F.explode(F.filter(items, lambda x: x["there"])).alias("e")).select("incident_id", "rank", "service", "e.*").drop("there")
     text = F.concat_ws("|", "incident_id", "service", "type", F.lit("")).cast("binary")
     return e.withColumn("evidence_id", F.concat(F.lit("ev-"), F.substring(F.sha2(F.concat(text, _le(c("start_ns")), _le(c("end_ns"))), 256), 1, 16)))
 
 
+def candidate_changes(ranked: DataFrame, data: Incident) -> DataFrame:
+    """(incident_id, service, ref): changes of candidates shortly before their onset (or the incident's)."""
+    near = data.changes.select(*KEY, "event_time", F.col("event_id").alias("ref")).join(ranked.select(*KEY, "at"), KEY)
+    return near.where((F.col("at") - F.col("event_time")).between(0, CHANGE_WINDOW_NS)).select(*KEY, "ref")
+
+
+def candidate_logs(ranked: DataFrame, data: Incident) -> DataFrame:
+    """(incident_id, service, ref): severe logs of candidates around their onset (or the incident's)."""
+    near = severe(data.logs).select(*KEY, "event_time", F.col("event_id").alias("ref")).join(ranked.select(*KEY, "at"), KEY)
+    return near.where(F.abs(F.col("at") - F.col("event_time")) <= LOG_WINDOW_NS).select(*KEY, "ref")
+
+
+def evidence_refs(ranked: DataFrame, data: Incident, intervals: DataFrame, top: int = 3) -> DataFrame:
+    """(incident_id, service, evidence_id, type, ref): a row for each event or trace that the evidence of the ``top`` candidates rests on."""
+    best = ranked.where(F.col("rank") <= top)
+    ids = evidence(best).select(*KEY, "type", "evidence_id")
+    bad = data.spans.groupBy(*_TRACE).agg(F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed"), F.collect_set("service").alias("s")).where("failed")
+    traces = bad.select("incident_id", F.explode("s").alias("service"), F.col("trace_id").alias("ref"))
+    parts = [
+        (("MetricAnomaly",), intervals.select(*KEY, F.explode("source_refs").alias("ref"))),
+        (("FailedTraceCoverage", "CriticalPathIncrease"), traces),
+        (("DeploymentProximity",), candidate_changes(best, data)),
+        (("LogTemplateSpike",), candidate_logs(best, data)),
+    ]
+    out = None
+    for kinds, refs in parts:
+        rows = ids.where(F.col("type").isin(*kinds)).join(refs, KEY).select(*KEY, "evidence_id", "type", "ref")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _short(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 10)
 
 
-def evidence_graph(ranked: DataFrame, intervals: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
+def evidence_graph(ranked: DataFrame, data: Incident, intervals: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
     """Nodes (incident_id, id, kind, service, time_ns, strength) and edges (incident_id, id, source, target, kind) of the best candidates."""
     c, inc = F.col, F.col("incident_id")
     null = F.lit(None).cast("long")
@@ -287,8 +314,8 @@ def evidence_graph(ranked: DataFrame, intervals: DataFrame, top: int = 3) -> tup
     cand = F.concat(F.lit("cand:"), c("service"))
     metric = F.concat(F.lit("metric:"), _short("service", "name", c("start_ns").cast("string")))
     node = lambda df, i, kind, t, strength: df.select(inc, i.alias("id"), F.lit(kind).alias("kind"), "service", t.alias("time_ns"), strength.alias("strength"))
-    changes = best.withColumn("ref", F.explode("change_refs"))
-    logs = best.withColumn("ref", F.explode("log_refs"))
+    changes = best.join(candidate_changes(best, data), KEY)
+    logs = best.join(candidate_logs(best, data), KEY)
     change, log_ = F.concat(F.lit("change:"), c("ref")), F.concat(F.lit("log:"), c("ref"))
     unit = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
     nodes = node(sick, deg(c("service")), "ServiceDegradation", c("onset_ns"), c("anomaly_strength"))

@@ -14,22 +14,31 @@ def valid(df: DataFrame) -> DataFrame:
 
 
 def first_arrivals(df: DataFrame, order: str, key: str = "event_id") -> DataFrame:
-    """Of rows with equal ``key`` the one with the smallest ``order``; combined map-side, without sorting."""
+    """Of rows with equal ``key`` the one with the smallest ``order``; combined map-side, without sorting.
+
+    Rows without a key are no events (see :func:`valid`) and are left out.
+    """
     rows = F.struct(*(F.col(c) for c in df.columns))
-    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(rows, F.struct(F.col(order), rows)).alias("r")).select("r.*")
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min_by(rows, F.struct(F.col(order), rows)).alias("r")).select("r.*")
 
 
-def arrival_numbers(df: DataFrame, order: list[str], name: str = "ingest_sequence") -> DataFrame:
+def arrival_numbers(df: DataFrame, order: list[str], name: str = "ingest_sequence", ranges: int | None = None) -> DataFrame:
     """Rows numbered from 1 in the order of ``order``, without bringing them into one partition.
 
-    A range sort makes ordered partitions; the numbers of a partition start after the sizes of those before it, which
-    one small aggregate gives.
+    The first column of ``order``, a number, is cut into ranges of about equal size. The cuts are found first and are
+    constants of the plan, so that counting the rows of each range and numbering them see the same ranges, whatever
+    becomes of partitions. Nulls come first.
     """
-    placed = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    first = F.col(order[0])
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(first, [i / n for i in range(1, n)] or [0.5], F.lit(10_000))).first()[0] or []
+    cuts = sorted(set(cuts))
+    marks = F.lit(cuts) if cuts else F.array().cast("array<long>")
+    placed = df.withColumn("__p", F.coalesce(F.size(F.filter(marks, lambda x: x < first)), F.lit(0)))
     counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    n = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return placed.join(F.broadcast(before), "__p").withColumn(name, (n + F.col("__before")).cast("long")).drop("__p", "__before")
+    number = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn("__n", number).join(F.broadcast(before), "__p").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__p", "__n", "__before")
 
 
 def partition_key(signal: Column, service: Column, name: Column, trace_id: Column) -> Column:

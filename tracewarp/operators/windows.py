@@ -31,8 +31,11 @@ def window_percentiles(metrics: DataFrame, size_ns: int, slide_ns: int | None =
     return out.select("service", "window_start", (F.col("window_start") + size_ns).alias("window_end"), "count", *P)
 
 
-def lifecycle(df: DataFrame, size_ns: int, grace_ns: int, watermark: int) -> DataFrame:
-    """Windows of :func:`window_average` with ``finalized`` (the watermark passed the end) and ``live`` (kept in state)."""
-    out = window_average(df, size_ns)
+def lifecycle(df: DataFrame, size_ns: int, grace_ns: int, watermark: DataFrame) -> DataFrame:
+    """Windows of :func:`window_average` with ``finalized`` (the watermark passed the end) and ``live`` (kept in state).
+
+    ``watermark`` is a frame of one row and column, so that it is found in the same job.
+    """
+    out = window_average(df, size_ns).join(F.broadcast(watermark.toDF("__wm")))
     end = F.col("window_end")
-    return out.withColumns({"finalized": end <= watermark, "live": end + grace_ns > watermark})
+    return out.withColumns({"finalized": end <= F.col("__wm"), "live": end + grace_ns > F.col("__wm")}).drop("__wm")

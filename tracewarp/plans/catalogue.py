@@ -12,7 +12,9 @@ from tracewarp.functions.ddsketch import gamma, merge, quantiles, sketch
 from tracewarp.functions.eventtime import hop_starts, tumble_start
 from tracewarp.operators import graph, inference, ingest, joins, relational, windows
 from tracewarp.operators.inference import Incident
+from tracewarp.plans import inference_sql as sql
 from tracewarp.sources.telemetry import DAY_NS, HOUR_NS, changes, logs, metrics, spans, table, with_views
+from tracewarp.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,8 +51,8 @@ def scan_logs_changes(spark, sf_dir):
 SELECT service, count(*) AS n FROM metrics WHERE event_time <= (SELECT min(event_time) FROM metrics) + {10 * DAY_NS} GROUP BY service"""))
 def scan_at_cursor(spark, sf_dir):
     m = metrics(spark, sf_dir)
-    first = m.agg(F.min("event_time")).first()[0]
-    return m.where(F.col("event_time") <= first + 10 * DAY_NS).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+    first = m.agg(F.min("event_time").alias("first"))
+    return m.join(F.broadcast(first)).where(F.col("event_time") <= F.col("first") + 10 * DAY_NS).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_views("metrics", """
@@ -74,8 +76,8 @@ def sql_arith_like(spark, sf_dir):
     from tracewarp.plans.dialect import Session
 
     s = Session(spark, {"metrics": metrics(spark, sf_dir)})
-    sql = "SELECT event_id, value + 1 AS plus, value - 1 AS minus, value * 2 AS times, value / 4 AS quarter FROM metrics WHERE name LIKE '%mem%' AND NOT service = 'svc-1' AND value <> 7 AND value <= 50"
-    return s.query(sql)
+    text = "SELECT event_id, value + 1 AS plus, value - 1 AS minus, value * 2 AS times, value / 4 AS quarter FROM metrics WHERE name LIKE '%mem%' AND NOT service = 'svc-1' AND value <> 7 AND value <= 50"
+    return s.query(text)
 
 
 # Aggregates and percentiles.
@@ -159,7 +161,7 @@ m AS (SELECT max(event_time) - {LATENESS_NS} AS wm FROM metrics)
 SELECT service, window_start, window_start + {DAY_NS} AS window_end, round(v, 6) AS value, n, window_start + {DAY_NS} <= wm AS finalized, window_start + {DAY_NS + GRACE_NS} > wm AS live FROM w, m"""))
 def window_lifecycle(spark, sf_dir):
     m = metrics(spark, sf_dir)
-    wm = m.agg(F.max("event_time")).first()[0] - LATENESS_NS
+    wm = m.agg((F.max("event_time") - LATENESS_NS).alias("watermark"))
     return windows.lifecycle(m, DAY_NS, GRACE_NS, wm).withColumn("value", F.round("value", 6))
 
 
@@ -280,35 +282,33 @@ def ingestion_stats(spark, sf_dir):
 
 # Graphs and traces.
 
-_EDGES = """kids AS (
-  SELECT p.service AS source, s.service AS target, s.status, s.duration_ns FROM spans s JOIN spans p ON s.parent_span_id = p.span_id
-  WHERE p.service <> s.service AND (p.start_time_ns, p.span_id) < (s.start_time_ns, s.span_id)),
-edges AS (SELECT source, target, count(*) AS calls, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(duration_ns) AS BIGINT) AS duration_ns FROM kids GROUP BY source, target)"""
-
-
-@query(with_views("spans", f",\n{_EDGES}\nSELECT * FROM edges"))
+@query(with_views("spans", f",\n{sql.EDGES}\nSELECT * FROM edges"))
 def service_graph(spark, sf_dir):
     return graph.service_edges(spans(spark, sf_dir))
 
 
-@query(with_views("spans", "\nSELECT service, count(*) AS spans, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(duration_ns) AS BIGINT) AS duration_ns FROM spans GROUP BY service"))
+@query(with_views("spans", """
+SELECT service, CAST(sum(n) AS BIGINT) AS spans, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(d) AS BIGINT) AS duration_ns FROM (
+  SELECT service, 1 AS n, CASE WHEN status = 'error' THEN 1 ELSE 0 END AS e, duration_ns AS d FROM spans UNION ALL SELECT peer_service, 0, 0, 0 FROM spans WHERE peer_service <> service)
+GROUP BY service"""))
 def service_nodes(spark, sf_dir):
     return graph.service_nodes(spans(spark, sf_dir))
 
 
-def _few_edges(spark, sf_dir):
-    """Edges of one operation only, so that not every service reaches every other."""
-    return graph.service_edges(spans(spark, sf_dir).where("operation = 'op-1'")).where("target > source")
+@query(with_views("spans", f",\n{sql.EDGES},\n{sql.REACH}\nSELECT service, caller FROM reach"))
+def reverse_reachability(spark, sf_dir):
+    return graph.reach(graph.service_edges(spans(spark, sf_dir)))
+
 
+_CURSOR = "(SELECT min(start_time_ns) + (max(start_time_ns) - min(start_time_ns)) // 2 FROM all_spans)"
 
-@query("WITH RECURSIVE " + with_views("spans", "").removeprefix("WITH ") + """,
-few AS (SELECT * FROM spans WHERE operation = 'op-1'),
-edges AS (SELECT DISTINCT p.service AS source, s.service AS target FROM few s JOIN few p ON s.parent_span_id = p.span_id
-  WHERE p.service < s.service AND (p.start_time_ns, p.span_id) < (s.start_time_ns, s.span_id)),
-reach AS (SELECT target AS service, source AS caller FROM edges UNION SELECT r.service, e.source FROM reach r JOIN edges e ON e.target = r.caller)
-SELECT service, caller FROM reach""")
-def reverse_reachability(spark, sf_dir):
-    return graph.reach(_few_edges(spark, sf_dir))
+
+@query(with_views("spans", f",\nall_spans AS (SELECT * FROM spans)").replace("spans AS (\n  SELECT 't'", "every AS (\n  SELECT 't'").replace("all_spans AS (SELECT * FROM spans)", f"all_spans AS (SELECT * FROM every),\nspans AS (SELECT * FROM every WHERE start_time_ns <= {_CURSOR}),\n{sql.EDGES}\nSELECT * FROM edges"))
+def topology_at_cursor(spark, sf_dir):
+    """The graph of the spans begun by the middle of the recorded time."""
+    s = spans(spark, sf_dir)
+    ends = s.agg(F.expr("min(start_time_ns) + (max(start_time_ns) - min(start_time_ns)) div 2").alias("cursor"))
+    return graph.service_edges(s.join(F.broadcast(ends)).where(F.col("start_time_ns") <= F.col("cursor")).drop("cursor"))
 
 
 @query(with_views("spans", """
@@ -325,45 +325,46 @@ def trace_list(spark, sf_dir):
     return graph.traces(spans(spark, sf_dir))
 
 
-def _some_spans(spark, sf_dir):
-    return spans(spark, sf_dir).where(F.substring("trace_id", 2, 20).cast("long") % 20 == 0)
-
-
-@query(with_views("spans", """,
-few AS (SELECT * FROM spans WHERE CAST(substr(trace_id, 2) AS BIGINT) % 20 = 0),
-t AS (SELECT trace_id, list_sort(list(DISTINCT service)) AS services, coalesce(bool_or(status = 'error'), false) AS failed FROM few GROUP BY trace_id),
-rt AS (SELECT trace_id, operation, start_time_ns, end_time_ns - start_time_ns AS envelope, row_number() OVER (PARTITION BY trace_id ORDER BY end_time_ns - start_time_ns DESC, span_id) AS rn
-  FROM (SELECT s.*, p.span_id AS pid FROM few s LEFT JOIN (SELECT span_id FROM few) p ON s.parent_span_id = p.span_id) WHERE pid IS NULL),
-r AS (SELECT t.*, rt.operation, rt.start_time_ns, rt.envelope FROM t JOIN rt ON t.trace_id = rt.trace_id AND rn = 1),
-c AS (SELECT f.trace_id AS failed_trace_id, h.trace_id, h.envelope, h.start_time_ns,
-    len(list_intersect(f.services, h.services)) / len(list_distinct(list_concat(f.services, h.services))) AS sim
-  FROM r f JOIN r h ON f.failed AND NOT h.failed AND f.operation = h.operation),
-k AS (SELECT *, row_number() OVER (PARTITION BY failed_trace_id ORDER BY start_time_ns DESC, trace_id) AS rn FROM c WHERE sim >= 0.5),
-g AS (SELECT failed_trace_id, list(trace_id ORDER BY rn) AS cohort, list(trace_id ORDER BY envelope, trace_id) AS by_length, avg(sim) * least(count(*) / 3.0, 1.0) AS confidence FROM k WHERE rn <= 20 GROUP BY failed_trace_id)
-SELECT r.trace_id AS failed_trace_id, operation, array_to_string(coalesce(cohort, []), ' ') AS cohort, by_length[len(by_length) // 2 + 1] AS median_trace_id, round(coalesce(confidence, 0.0), 6) AS confidence
-FROM r LEFT JOIN g ON r.trace_id = g.failed_trace_id WHERE failed"""))
+@query(with_views("spans", f",\n{sql.COHORT}\nSELECT * FROM cohorts"))
 def healthy_cohort(spark, sf_dir):
-    out = graph.healthy_cohorts(_some_spans(spark, sf_dir))
-    return out.withColumns({"cohort": F.array_join("cohort", " "), "confidence": F.round("confidence", 6)})
-
-
-@query(ORACLES["healthy_cohort"].replace(" WHERE CAST(substr(trace_id, 2) AS BIGINT) % 20 = 0", ""))
-def healthy_cohort_all(spark, sf_dir):
-    """As healthy_cohort, which keeps its SQL's twentieth of the traces, over all of them."""
     out = graph.healthy_cohorts(spans(spark, sf_dir))
     return out.withColumns({"cohort": F.array_join("cohort", " "), "confidence": F.round("confidence", 6)})
 
 
-@query()
+@query(with_views("spans", f""",
+{sql.CRITICAL}
+SELECT c.trace_id, c.service, contribution_ns, end_time_ns - start_time_ns AS envelope_ns, b.trace_id IS NOT NULL AS failed
+FROM critical c JOIN root r ON r.trace_id = c.trace_id LEFT JOIN bad b ON b.trace_id = c.trace_id"""))
 def critical_path(spark, sf_dir):
     return graph.critical_paths(spans(spark, sf_dir))
 
 
-@query()
+def _medians(s: DataFrame) -> DataFrame:
+    return graph.healthy_cohorts(s).where("median_trace_id is not null").select("failed_trace_id", F.col("median_trace_id").alias("healthy_trace_id"))
+
+
+@query(with_views("spans", f""",
+{sql.COHORT},
+{sql.PATHS},
+f AS (SELECT * FROM medians JOIN paths ON trace_id = failed_trace_id),
+h AS (SELECT * FROM medians JOIN paths ON trace_id = healthy_trace_id)
+SELECT failed_trace_id, healthy_trace_id, path, ordinal, f.span_id AS failed_span_id, h.span_id AS healthy_span_id, f.ns - h.ns AS delta_ns FROM f FULL JOIN h USING (failed_trace_id, healthy_trace_id, path, ordinal)"""))
 def trace_compare(spark, sf_dir):
     s = spans(spark, sf_dir)
-    pairs = graph.healthy_cohorts(s).where("median_trace_id is not null").select("failed_trace_id", F.col("median_trace_id").alias("healthy_trace_id"))
-    return graph.compare_traces(s, pairs)
+    return graph.compare_traces(s, _medians(s))
+
+
+@query(with_views("spans", f""",
+{sql.COHORT},
+{sql.PATHS},
+{sql.CRITICAL},
+per AS (SELECT r.trace_id, r.end_time_ns - r.start_time_ns AS envelope_ns, (SELECT sum(contribution_ns) FROM critical c WHERE c.trace_id = r.trace_id) AS critical_ns, t.services FROM root r JOIN t ON t.trace_id = r.trace_id)
+SELECT failed_trace_id, healthy_trace_id, f.envelope_ns - h.envelope_ns AS total_excess_ns, CAST(f.critical_ns - h.critical_ns AS BIGINT) AS critical_path_delta_ns,
+  array_to_string(list_sort(list_filter(f.services, lambda x: NOT list_contains(h.services, x))), ' ') AS added_services, array_to_string(list_sort(list_filter(h.services, lambda x: NOT list_contains(f.services, x))), ' ') AS removed_services
+FROM medians JOIN per f ON f.trace_id = failed_trace_id JOIN per h ON h.trace_id = healthy_trace_id"""))
+def trace_compare_summary(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return graph.compare_summaries(s, _medians(s)).withColumns({c: F.array_join(F.array_sort(c), " ") for c in ("added_services", "removed_services")})
 
 
 # Inference.
@@ -373,25 +374,18 @@ def incident(spark, sf_dir) -> Incident:
     """The tables as one incident."""
     i = F.lit("all").alias("incident_id")
     lg = logs(spark, sf_dir).select(i, "event_id", "event_time", "service", F.col("severity").alias("severity_text"), F.lit(None).cast("int").alias("severity_number"))
-    return Incident(metrics(spark, sf_dir).select(i, "*"), spans(spark, sf_dir).select(i, "*"), lg, changes(spark, sf_dir).select(i, "*"))
-
+    # The spans are a join and an aggregate of two tables, read several times by what follows.
+    return Incident(metrics(spark, sf_dir).select(i, "*"), written(spans(spark, sf_dir), "spans").select(i, "*"), lg, changes(spark, sf_dir).select(i, "*"))
 
-_Z = """s AS (SELECT *, list(value) OVER (PARTITION BY service, name ORDER BY event_time, event_id ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) AS b FROM metrics),
-m AS (SELECT *, CASE WHEN len(b) >= 5 THEN list_median(b) END AS med FROM s),
-d AS (SELECT *, list_transform(b, lambda x: abs(x - med)) AS dev FROM m),
-z AS (SELECT event_id, service, name, event_time, value, coalesce(len(b), 0) AS baseline_n, CASE WHEN len(b) >= 5 THEN greatest(least(
-    CASE WHEN list_median(dev) > 0 THEN 0.6745 * (value - med) / list_median(dev) WHEN list_avg(dev) > 0 THEN 0.7979 * (value - med) / list_avg(dev)
-         WHEN abs(value - med) <= 1e-9 THEN 0.0 ELSE sign(value - med) * 8.0 END, 8.0), -8.0) END AS z FROM d)"""
 
-
-@query(with_views("metrics", f",\n{_Z}\nSELECT event_id, service, name, baseline_n, round(z, 6) AS z FROM z"))
+@query(with_views("metrics", f",\n{sql.Z}\nSELECT event_id, service, name, baseline_n, round(z, 6) AS z FROM z"))
 def robust_z(spark, sf_dir):
     out = inference.robust_z(metrics(spark, sf_dir), ["service", "name"])
     return out.select("event_id", "service", "name", F.col("baseline_n").cast("long").alias("baseline_n"), F.round("z", 6).alias("z"))
 
 
 @query(with_views("metrics", f""",
-{_Z},
+{sql.Z},
 high AS (SELECT *, abs(z) >= 3 AS hot, row_number() OVER (PARTITION BY service, name ORDER BY event_time, event_id) AS i FROM z WHERE z IS NOT NULL),
 pairs AS (SELECT service, name, event_time AS start_ns, lead(hot) OVER (PARTITION BY service, name ORDER BY i) AS next_hot, hot FROM high)
 SELECT service, min(start_ns) AS onset_ns FROM pairs WHERE hot AND next_hot GROUP BY service"""))
@@ -401,25 +395,76 @@ def onsets(spark, sf_dir):
     return inference.onsets(iv).select("service", "onset_ns")
 
 
-@query()
+@query(with_views("metrics", f",\n{sql.INTERVALS}\nSELECT 'all' AS incident_id, service, name, start_ns, end_ns, round(peak, 6) AS peak_abs_z, CAST(n AS BIGINT) AS sample_count, closed, refs AS source_refs FROM iv"))
 def anomaly_intervals(spark, sf_dir):
-    return inference.anomaly_intervals(inference.robust_z(incident(spark, sf_dir).metrics))
+    out = inference.intervals_of(incident(spark, sf_dir))
+    return out.withColumns({"peak_abs_z": F.round("peak_abs_z", 6), "source_refs": F.array_join("source_refs", " ")})
+
 
+_ALL = "metrics spans logs changes"
+_FEATURES = ("score", *inference.WEIGHTS, "persistence")
 
-@query()
+
+@query(with_views(_ALL, f",\n{sql.RANKED}\nSELECT service, CAST(rank AS INTEGER) AS rank, {', '.join(f'round({c}, 9) AS {c}' for c in _FEATURES)} FROM ranked"))
 def rank_candidates(spark, sf_dir):
     out = inference.rank_candidates(inference.features(incident(spark, sf_dir)))
-    return out.select("service", "rank", *(F.round(c, 9).alias(c) for c in ("score", *inference.WEIGHTS, "persistence")))
+    return out.select("service", "rank", *(F.round(c, 9).alias(c) for c in _FEATURES))
+
+
+def _contributions() -> str:
+    return " UNION ALL ".join(f"SELECT service, '{n}' AS feature, round({n}, 9) AS value, CAST({w} AS DOUBLE) AS weight, round({n} * ({w}), 9) AS product FROM ranked" for n, w in inference.WEIGHTS.items())
+
 
+@query(with_views(_ALL, f",\n{sql.RANKED}\n{_contributions()}"))
+def score_contributions(spark, sf_dir):
+    out = inference.rank_candidates(inference.features(incident(spark, sf_dir))).select("service", F.explode("contributions").alias("c"))
+    return out.select("service", "c.feature", F.round("c.value", 9).alias("value"), "c.weight", F.round("c.product", 9).alias("product"))
 
-@query()
+
+@query(with_views(_ALL, f",\n{sql.EVIDENCE}\nSELECT 'all' AS incident_id, CAST(rank AS INTEGER) AS rank, service, type, direction, round(strength, 9) AS strength, start_ns, end_ns, evidence_id FROM found"))
 def evidence(spark, sf_dir):
-    return inference.evidence(inference.rank_candidates(inference.features(incident(spark, sf_dir)))).drop("refs")
+    return inference.evidence(inference.rank_candidates(inference.features(incident(spark, sf_dir)))).withColumn("strength", F.round("strength", 9))
 
 
-@query()
-def evidence_graph(spark, sf_dir):
+@query(with_views(_ALL, f""",
+{sql.EVIDENCE},
+refs AS (
+  SELECT 'MetricAnomaly' AS type, service, unnest(string_split(refs, ' ')) AS ref FROM iv
+  UNION ALL SELECT k, service, trace_id FROM (SELECT DISTINCT service, trace_id FROM spans SEMI JOIN bad USING (trace_id)), (SELECT unnest(['FailedTraceCoverage', 'CriticalPathIncrease']) AS k)
+  UNION ALL SELECT 'DeploymentProximity', service, ref FROM near_changes UNION ALL SELECT 'LogTemplateSpike', service, ref FROM near_logs)
+SELECT 'all' AS incident_id, service, evidence_id, type, ref FROM found JOIN refs USING (service, type) WHERE rank <= 3"""))
+def evidence_refs(spark, sf_dir):
+    """What the evidence of the three best candidates rests on, a row each."""
+    data, iv, ranked = _ranked(spark, sf_dir)
+    return inference.evidence_refs(ranked, data, iv)
+
+
+def _ranked(spark, sf_dir):
     data = incident(spark, sf_dir)
-    iv = inference.anomaly_intervals(inference.robust_z(data.metrics)).persist()
-    nodes, edges = inference.evidence_graph(inference.rank_candidates(inference.features(data, iv)), iv)
-    return edges
+    iv = written(inference.intervals_of(data), "intervals")
+    return data, iv, inference.rank_candidates(inference.features(data, iv))
+
+
+@query(with_views(_ALL, f",\n{sql.GRAPH}\nSELECT 'all' AS incident_id, id, source, target, kind FROM numbered"))
+def evidence_graph(spark, sf_dir):
+    data, iv, ranked = _ranked(spark, sf_dir)
+    return inference.evidence_graph(ranked, data, iv)[1]
+
+
+@query(with_views(_ALL, f",\n{sql.GRAPH}\nSELECT 'all' AS incident_id, id, kind, service, time_ns, round(strength, 9) AS strength FROM nodes"))
+def evidence_nodes(spark, sf_dir):
+    data, iv, ranked = _ranked(spark, sf_dir)
+    return inference.evidence_graph(ranked, data, iv)[0].withColumn("strength", F.round("strength", 9))
+
+
+@query(with_views(_ALL, f""",
+{sql.RANKED},
+truth AS (SELECT service FROM changes GROUP BY service ORDER BY count(*) DESC, service LIMIT 2),
+best AS (SELECT min(rank) AS best_rank FROM ranked JOIN truth USING (service))
+SELECT 'all' AS incident_id, CAST(best_rank AS INTEGER) AS best_rank, best_rank <= 1 AS top1, best_rank <= 3 AS top3, round(1.0 / best_rank, 9) AS reciprocal_rank FROM best"""))
+def ranking_evaluation(spark, sf_dir):
+    """The ranking held against labels: the two services with the most changes."""
+    _, _, ranked = _ranked(spark, sf_dir)
+    top = changes(spark, sf_dir).groupBy("service").count().orderBy(F.desc("count"), "service").limit(2)
+    truth = top.agg(F.collect_list("service").alias("root_cause_services")).select(F.lit("all").alias("incident_id"), "root_cause_services")
+    return inference.evaluate(ranked, truth).withColumn("reciprocal_rank", F.round("reciprocal_rank", 9))

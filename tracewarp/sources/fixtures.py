@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 import random
+from decimal import Decimal
 from pathlib import Path
 
 import pyarrow as pa
@@ -109,7 +110,7 @@ def _suite_incident(name: str, fault: str, target: str, onset: int, r: random.Ra
             if s == target and ramp:
                 v["latency"] += ramp * slow
                 if fault in ("mem", "cpu"):
-                    v[fault] += ramp * 0.08
+                    v[fault] += ramp * (0.09 if fault == "cpu" else 0.08)
                 if fault == "error":
                     v["error_rate"] = min(0.6, ramp * 0.08)
             if s in callers and wave:
@@ -144,14 +145,14 @@ def _service(name: str, known: set[str]) -> str:
     return short if name not in known and short in known else name
 
 
-def convert_recording(case: str, out_root: str, incident_id: str, target: str, fault: str, dataset: str = "recorded", truth: dict | None = None) -> str:
-    """An incident from metrics.json, traces.csv, logs.csv and inject_time.txt.
+def convert_recording(case: str, out_root: str, incident_id: str, target: str, fault: str, dataset: str = "recorded", truth: dict | None = None, fault_start_s: int | None = None) -> str:
+    """An incident from metrics.json, traces.csv, logs.csv (times in seconds) and, without ``fault_start_s``, inject_time.txt.
 
     Metrics are taken whole, one trace in eight, and at most ``LOG_CAP`` logs: those that speak of errors first, the
     rest spread evenly over time.
     """
     src = Path(case)
-    inject = int(src.joinpath("inject_time.txt").read_text().strip()) * SECOND
+    inject = int(src.joinpath("inject_time.txt").read_text().strip() if fault_start_s is None else fault_start_s) * SECOND
     series = json.loads(src.joinpath("metrics.json").read_text())
     known = {s.split("_", 1)[0] for s in series}
     metrics = [
@@ -172,7 +173,7 @@ def convert_recording(case: str, out_root: str, incident_id: str, target: str, f
     with src.joinpath("logs.csv").open(newline="") as f:
         for i, r in enumerate(csv.DictReader(f)):
             bad = any(w in r["message"].lower() for w in ERROR_WORDS)
-            logs.append({"event_id": f"l-{i}", "event_time_ns": int(r["timestamp"]), "service": _service(r["container_name"], known), "severity_text": "ERROR" if bad else "INFO", "body": r["message"][:BODY]})
+            logs.append({"event_id": f"l-{i}", "event_time_ns": int(Decimal(r["timestamp"]) * SECOND), "service": _service(r["container_name"], known), "severity_text": "ERROR" if bad else "INFO", "body": r["message"][:BODY]})
     logs.sort(key=lambda x: (x["event_time_ns"], x["event_id"]))
     if len(logs) > LOG_CAP:
         bad, rest = ([x for x in logs if (x["severity_text"] == "ERROR") == b] for b in (True, False))
@@ -187,7 +188,6 @@ def convert_scenario(case: str, out_root: str) -> str:
     scenario = json.loads(Path(case, "scenario.json").read_text())
     if gone := [k for k in REQUIRED_SCENARIO if scenario.get(k) in (None, "")]:
         raise ValueError(f"scenario.json lacks {', '.join(gone)}")
-    Path(case, "inject_time.txt").write_text(str(int(scenario["fault_start_unix"])))
     truth = {"fault_end_time_ns": int(scenario["fault_end_unix"]) * SECOND, "expected_downstream_services": scenario["expected_affected_services"]}
     target, fault = scenario["ground_truth_root_cause_service"], scenario["ground_truth_fault_type"]
-    return convert_recording(case, out_root, f"demo-{target}-{fault}-{scenario['random_seed']}", target, fault, "demo", truth)
+    return convert_recording(case, out_root, f"demo-{target}-{fault}-{scenario['random_seed']}", target, fault, "demo", truth, int(scenario["fault_start_unix"]))

@@ -95,18 +95,26 @@ def _enum(signal: str, column: str) -> Column:
     return F.when(c.isNull(), F.lit(default)).otherwise(out) if default else out
 
 
+def _place(path: str) -> str:
+    """A file's path as the reader names it once its URI is decoded."""
+    return path if "://" in path else str(Path(path.removeprefix("file:")).resolve())
+
+
 def _signal(spark: SparkSession, signal: str, files: list[tuple[str, str]]) -> DataFrame:
     """(incident_id, event_id, event_time, service, payload columns...) of (incident, file) pairs."""
     schema = T.StructType.fromDDL(PAYLOADS[signal])
     empty = T.StructType([T.StructField(n, T.StringType()) for n in ("incident_id", "event_id", "service")] + [T.StructField("event_time", T.LongType()), *schema])
     if not files:
         return spark.createDataFrame([], empty)
-    names = {f"{Path(p).resolve().parent.parent.name}": i for i, p in files}
     # Files of signals without events lack all columns but the id: a fixed read schema gives them nulls.
     read = spark.read.schema("event_id string, event_time_ns long, service string, payload_json string").parquet(*(p for _, p in files))
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -3)
-    incident = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[folder]
-    rows = read.where("payload_json is not null").select(
+    # An entry a file, by its whole path: folders of different datasets may share a name. Spark gives file paths as URIs.
+    places = spark.createDataFrame([(incident, _place(p)) for incident, p in files], "incident_id string, __place string")
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    read = read.where("payload_json is not null").withColumn("__place", F.url_decode(F.regexp_replace(place, r"\+", "%2B")))
+    read = read.join(F.broadcast(places), "__place", "left")
+    incident = F.coalesce("incident_id", F.raise_error(F.concat(F.lit("no incident has the file "), "__place")).cast("string"))
+    rows = read.select(
         incident.alias("incident_id"), "event_id", "service", F.col("event_time_ns").alias("event_time"), F.from_json("payload_json", schema, {"mode": "FAILFAST"}).alias("p")
     )
     rows = rows.select("incident_id", "event_id", "service", "event_time", "p.*")

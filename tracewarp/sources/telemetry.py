@@ -76,7 +76,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trace per order: line 1 is the root, line n > 1 a child of line n // 2."""
+    """One trace per order: line 1 is the root, line n > 1 a child of line n // 2.
+
+    Services are in three layers by line (0-1, 2-4, 5-7). Of the deepest layer some spans name a peer: a database, or
+    svc-2, which closes cycles in the graph. Some spans name a parent that isn't there.
+    """
     line, order = F.col("l_linenumber").cast("long"), F.col("l_orderkey")
     items = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -88,20 +92,21 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = first.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     start = _event_ns("o_orderdate") + (line - 1) * F.lit(5_000_000)
     duration = (F.col("r.l_quantity").cast("long") + F.lit(1)) * F.lit(4_000_000)
+    part, supplier = F.col("r.l_partkey"), F.col("r.l_suppkey")
+    number = F.when(line == 1, supplier % 2).when(line <= 3, 2 + supplier % 3).otherwise(5 + supplier % 3)
+    parent = F.when(part % 11 == 0, F.lit("99")).otherwise(F.expr("cast(cast(l_linenumber as bigint) div 2 as string)"))
+    peer = F.when((line >= 4) & (part % 7 == 0), "svc-2").when((line >= 4) & (part % 7 == 1), F.concat(F.lit("db-"), (supplier % 2).cast("string")))
     return joined.select(
         F.concat(F.lit("t"), order.cast("string")).alias("trace_id"),
         F.concat(F.lit("t"), order.cast("string"), F.lit("-"), line.cast("string")).alias("span_id"),
-        F.when(
-            line > 1,
-            F.concat(F.lit("t"), order.cast("string"), F.lit("-"), F.expr("cast(l_linenumber as bigint) div 2").cast("string")),
-        ).alias("parent_span_id"),
-        F.concat(F.lit("svc-"), (F.col("r.l_suppkey") % 8).cast("string")).alias("service"),
-        F.concat(F.lit("op-"), (F.col("r.l_partkey") % 5).cast("string")).alias("operation"),
+        F.when(line > 1, F.concat(F.lit("t"), order.cast("string"), F.lit("-"), parent)).alias("parent_span_id"),
+        F.concat(F.lit("svc-"), number.cast("string")).alias("service"),
+        F.concat(F.lit("op-"), (part % 5).cast("string")).alias("operation"),
         start.alias("start_time_ns"),
         (start + duration).alias("end_time_ns"),
         duration.alias("duration_ns"),
         F.when(F.col("r.l_returnflag") == "R", "error").otherwise("ok").alias("status"),
-        F.lit(None).cast("string").alias("peer_service"),
+        peer.alias("peer_service"),
     )
 
 
@@ -132,19 +137,21 @@ VIEW_SQL = {
 spans AS (
   SELECT 't' || CAST(l_orderkey AS VARCHAR) AS trace_id,
          't' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS span_id,
-         CASE WHEN l_linenumber > 1
-              THEN 't' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(CAST(l_linenumber AS BIGINT) // 2 AS VARCHAR) END AS parent_span_id,
-         'svc-' || CAST(l_suppkey % 8 AS VARCHAR) AS service, 'op-' || CAST(l_partkey % 5 AS VARCHAR) AS operation,
+         CASE WHEN l_linenumber > 1 THEN 't' || CAST(l_orderkey AS VARCHAR) || '-'
+              || CASE WHEN l_partkey % 11 = 0 THEN '99' ELSE CAST(CAST(l_linenumber AS BIGINT) // 2 AS VARCHAR) END END AS parent_span_id,
+         'svc-' || CAST(CASE WHEN l_linenumber = 1 THEN l_suppkey % 2 WHEN l_linenumber <= 3 THEN 2 + l_suppkey % 3 ELSE 5 + l_suppkey % 3 END AS VARCHAR) AS service,
+         'op-' || CAST(l_partkey % 5 AS VARCHAR) AS operation,
          epoch_us(o_orderdate) * 1000 + (CAST(l_linenumber AS BIGINT) - 1) * 5000000 AS start_time_ns,
          epoch_us(o_orderdate) * 1000 + (CAST(l_linenumber AS BIGINT) - 1) * 5000000
            + (CAST(l_quantity AS BIGINT) + 1) * 4000000 AS end_time_ns,
          (CAST(l_quantity AS BIGINT) + 1) * 4000000 AS duration_ns,
          CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS status,
-         CAST(NULL AS VARCHAR) AS peer_service
+         CASE WHEN l_linenumber >= 4 AND l_partkey % 7 = 0 THEN 'svc-2'
+              WHEN l_linenumber >= 4 AND l_partkey % 7 = 1 THEN 'db-' || CAST(l_suppkey % 2 AS VARCHAR) END AS peer_service
   FROM first_items JOIN orders ON l_orderkey = o_orderkey WHERE rn = 1)""",
 }
 
 
 def with_views(names: str, body: str) -> str:
     """Oracle SQL: the named views as common table expressions, then ``body`` (which may add more)."""
-    return "WITH " + ",\n".join(VIEW_SQL[n] for n in names.split()) + body
+    return "WITH RECURSIVE " + ",\n".join(VIEW_SQL[n] for n in names.split()) + body

@@ -19,10 +19,14 @@ from tracewarp.functions.ddsketch import ALPHA, SHIFT, TINY, gamma
 from tracewarp.operators.inference import WARM, WINDOW, Hysteresis
 
 
-def with_event_ts(df: DataFrame, lateness_ns: int, time: str = "event_time") -> DataFrame:
-    """``event_ts`` from nanoseconds, and a watermark on it; buckets stay integer arithmetic on nanoseconds."""
+def with_event_ts(df: DataFrame, lateness_ns: int, time: str = "event_time", grace_ns: int = 0) -> DataFrame:
+    """``event_ts`` from nanoseconds, and a watermark on it; buckets stay integer arithmetic on nanoseconds.
+
+    Spark drops what is behind its watermark before any operator sees it, so rows within ``grace_ns`` of lateness must
+    not be: its watermark stays behind by the grace too.
+    """
     ts = F.timestamp_micros(F.expr(f"{time} div 1000"))
-    return df.withColumn("event_ts", ts).withWatermark("event_ts", f"{lateness_ns // 1000} microseconds")
+    return df.withColumn("event_ts", ts).withWatermark("event_ts", f"{(lateness_ns + grace_ns) // 1000} microseconds")
 
 
 def dedupe(df: DataFrame, key: str = "event_id") -> DataFrame:
@@ -53,7 +57,9 @@ PERCENTILES = StructType([*_EMIT, *(StructField(p, DoubleType()) for p in ("p50"
 class _Lifecycle(StatefulProcessor):
     """Windows of a service: a revision for each batch that touches one, one more when the watermark passes its end.
 
-    A finalised window takes rows until the watermark is a grace period past its end, and is then forgotten.
+    The watermark is that of the allowed lateness; Spark's stays a grace period behind it, see :func:`revisions`. A
+    finalised window takes rows until the watermark is a grace period past its end, and is then forgotten. A revision
+    is ``late`` where a row of it was at or behind the watermark.
     """
 
     def __init__(self, size_ns: int, grace_ns: int):
@@ -66,14 +72,15 @@ class _Lifecycle(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _timers(self, end_ns: int, watermark_ms: int) -> None:
-        # A timer fires when the watermark reaches it; round up, so that a window isn't final before its end.
-        for t in (-(-end_ns // 1_000_000), -(-(end_ns + self.grace) // 1_000_000)):
-            if t > watermark_ms:
+    def _timers(self, end_ns: int, spark_ms: int) -> None:
+        # A timer fires when Spark's watermark reaches it; round up, so that a window isn't final before its end.
+        for t in (-(-(end_ns - self.grace) // 1_000_000), -(-end_ns // 1_000_000)):
+            if t > spark_ms:
                 self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        wm = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        spark_ms = timerValues.getCurrentWatermarkInMs()
+        wm = spark_ms * 1_000_000 + self.grace if spark_ms else -(2**62)  # 0: none yet
         out = []
         for pdf in rows:
             pdf = pdf.dropna(subset=["value", "event_time"])
@@ -83,17 +90,24 @@ class _Lifecycle(StatefulProcessor):
                 end = s + self.size
                 if end + self.grace <= wm:
                     continue  # beyond grace
+                part = part[part["event_time"] + self.grace >= wm]
+                if not len(part):
+                    continue
                 had = self.windows.containsKey((s,))
-                state = self.push(tuple(self.windows.getValue((s,))) if had else None, part["value"].tolist(), end <= wm)
+                state = tuple(self.windows.getValue((s,))) if had else None
+                if had and end <= wm and not state[-1]:  # its timer comes after these rows
+                    state = self.finalise(state)
+                    out.append((key[0], s, end, *self.emit(state), True, False))
+                state = self.push(state, part["value"].tolist(), end <= wm)
                 self.windows.updateValue((s,), state)
                 if not had:
-                    self._timers(end, timerValues.getCurrentWatermarkInMs())
-                out.append((key[0], s, end, *self.emit(state), end <= wm, end <= wm))
+                    self._timers(end, spark_ms)
+                out.append((key[0], s, end, *self.emit(state), end <= wm, bool((part["event_time"] <= wm).any())))
         if out:
             yield pd.DataFrame(out, columns=self.output.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1_000_000
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1_000_000 + self.grace
         out = []
         for (s,), state in list(self.windows.iterator()):
             end = s + self.size
@@ -160,12 +174,33 @@ class PercentileRevisions(_Lifecycle):
         return (*out, s[3], s[4])
 
 
-def revisions(df: DataFrame, processor: _Lifecycle) -> DataFrame:
-    """Revisions of the windows of a streaming frame with ``event_ts``, ``event_time``, ``service`` and ``value``; update mode."""
-    rows = df.where("service is not null").select("service", "event_time", "value", "event_ts")
+def revisions(df: DataFrame, processor: _Lifecycle, lateness_ns: int) -> DataFrame:
+    """Revisions of the windows of a streaming frame of ``event_time``, ``service`` and ``value``; update mode."""
+    rows = with_event_ts(df.where("service is not null").select("service", "event_time", "value"), lateness_ns, grace_ns=processor.grace)
     return rows.groupBy("service").transformWithStateInPandas(processor, processor.output, "update", "EventTime")
 
 
+def heatmap(df: DataFrame, size_ns: int, lateness_ns: int, grace_ns: int) -> DataFrame:
+    """The streaming heatmap: revisions of the means and of the latency p99s of each cell, as one stream; update mode.
+
+    (service, window_start, kind, value, count, revision, finalized, late) with kind ``avg`` or ``p99``;
+    :func:`heatmap_cells` makes the heatmap of what was emitted.
+    """
+    shown = df.where(F.col("name").contains("lat") | F.col("name").contains("err") | F.col("name").contains("mem"))
+    cell = ["count", "revision", "finalized", "late"]
+    avg = revisions(shown, AverageRevisions(size_ns, grace_ns), lateness_ns).select("service", "window_start", F.lit("avg").alias("kind"), "value", *cell)
+    p99 = revisions(df.where(F.col("name").contains("lat")), PercentileRevisions(size_ns, grace_ns), lateness_ns).select("service", "window_start", F.lit("p99").alias("kind"), F.col("p99").alias("value"), *cell)
+    return avg.unionByName(p99)
+
+
+def heatmap_cells(emitted: DataFrame) -> DataFrame:
+    """(service, window_start, avg_value, p99, value) of the latest revision of each cell; a cell shows its p99 where it has one."""
+    last = emitted.groupBy("service", "window_start", "kind").agg(F.max_by("value", "revision").alias("value"))
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
+    out = last.groupBy("service", "window_start").agg(pick("avg").alias("avg_value"), pick("p99").alias("p99"))
+    return out.withColumn("value", F.coalesce("p99", "avg_value"))
+
+
 ANOMALY = StructType([StructField("service", StringType()), StructField("name", StringType()), StructField("start_ns", LongType()), StructField("end_ns", LongType()), StructField("peak_abs_z", DoubleType()), StructField("sample_count", LongType()), StructField("closed", BooleanType())])
 
 

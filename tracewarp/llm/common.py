@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch, where the session has Spark's default of 10,000.
-ARROW_ROWS = 2000
+from tracewarp.tables import delete as release
+from tracewarp.tables import fresh_path as new_path
+from tracewarp.tables import shared_dir, stored, written
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Where neither is set, a local master gets a temporary folder; a cluster is refused, as its machines share none.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def _delete_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the folder's owner cleans up
-            return
-
-
-atexit.register(_delete_written)
+__all__ = ["batches", "connected_components", "map_arrow", "new_path", "partitions_for", "quoted", "release", "shared_dir", "stored", "text_chunks", "trim", "unused", "written"]
 
 
 def quoted(name: str) -> Column:
@@ -60,27 +30,6 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that no result needs any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows, computed once and reread from a table in the shared folder, so a lost executor costs no lineage."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def trim() -> None:
     """Gives freed memory back to the system: Python workers live on between stages, beside those of the next."""
     gc.collect()
@@ -92,10 +41,7 @@ def trim() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of bounded size, whatever the length of the texts, and a worker that is trimmed after each task."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default, not a choice of the user's
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """``mapInArrow`` with a worker that is trimmed after each task; Spark bounds the bytes of a batch, however long the texts."""
 
     def trimmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -133,8 +79,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     smallest neighbour, so a chain halves each round and the largest table stays as large as the input. Each
     round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    e = written(
+    e, path = stored(
         edges.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
@@ -161,7 +106,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        e = written(nxt, "edges")
+        old, (e, path) = path, stored(nxt, "edges")
+        release(edges.sparkSession, old)
         after = mark(e)
         if after == before:
             break

@@ -99,12 +99,44 @@ def test_empty_table(spark):
     assert S.keep_one(docs(spark, [])).count() == 0
 
 
-def test_groups_give_all_keys_of_the_balls():
+@pytest.mark.parametrize("prefix", [1, 5, 10, 21])
+def test_groups_give_all_keys_of_the_balls(prefix):
     fp = np.random.default_rng(4).integers(0, 2**63, (50, 2), dtype=np.uint64) * np.uint64(2)
-    groups, found = S.group_numbers(fp), {i: set() for i in range(50)}
+    groups, found = S.group_numbers(fp, prefix), {i: set() for i in range(50)}
     for g in np.unique(groups):
         at = np.flatnonzero((groups == g).any(1))
-        for row, key in zip(*S.group_keys(int(g), fp[at])):
+        for row, key in zip(*S.group_keys(int(g), fp[at], prefix)):
             assert key not in found[at[row]]
             found[at[row]].add(key)
     assert all(found[i] == set(k) for i, k in enumerate(S.ball_keys(fp)))
+
+
+def test_groups_stay_as_large_however_many_entries():
+    for n in (0, 10**5, 10**7, 10**9):
+        bits = S.prefix_bits(n)
+        assert n * (1 + bits) / 2**bits <= S.GROUP_ROWS
+    assert S.prefix_bits(5 * 10**10) == min(w for _, _, w in S.SEGMENTS)
+
+
+@pytest.mark.parametrize("prefix", [1, 21])
+def test_any_number_of_groups_gives_the_same(spark, monkeypatch, prefix):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in df.collect()])
+    monkeypatch.setattr(S, "prefix_bits", lambda n: prefix)
+    assert got(S.near_duplicates(df)) == want
+
+
+def test_fingerprint_is_the_sign_of_the_weighted_sum_of_word_vectors():
+    import math
+
+    import xxhash
+
+    text = "The cat, the dog; the END! cat"
+    sums = [0.0] * 128
+    for word, weight in (("the", 1 + math.log(3)), ("cat", 1 + math.log(2)), ("dog", 1.0), ("end", 1.0)):
+        digest = int.from_bytes(xxhash.xxh3_128_digest(word), "big")
+        for k in range(128):
+            sums[k] += weight if digest >> (127 - k) & 1 else -weight
+    bits = int("".join("1" if x > 0 else "0" for x in sums), 2)
+    fp, ok = S.fingerprint_texts([text])
+    assert ok[0] and [int(x) for x in fp[0]] == [bits >> 64, bits & (2**64 - 1)]

@@ -29,11 +29,12 @@ BITS = 128
 #: (word, shift, width) of each segment; no segment crosses a 64-bit word.
 SEGMENTS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 22), (1, 22, 21), (1, 43, 21))
 MAX_DISTANCE = 3 * len(SEGMENTS) - 1
-#: Leading bits of a segment that choose its group. All values of a ball that differ in other bits are in one group, so
-#: an entry is sent once for them, and once for each leading bit flipped: 66 rows an entry for 134 bucket values.
-PREFIX = 10
-#: Rows of a partition of the sent table; it is sorted in memory, and expanded a group at a time.
-SENT_ROWS = 500_000
+#: Least number of leading bits of a segment that choose its group. All values of a ball that differ in other bits are
+#: in one group, so an entry is sent once for them, and once for each leading bit flipped: 6 (1 + bits) rows an entry for
+#: 134 bucket values. The more entries, the more bits, up to the whole segment, so that a group stays about as large.
+PREFIX = 5
+#: Rows of a group on average, from which on it takes another bit, and of a partition of the sent table.
+GROUP_ROWS, SENT_ROWS = 250_000, 500_000
 #: Buckets of more entries than this give a forest.
 FOREST_FROM = 48
 STRIP = ".,;:!?"
@@ -104,21 +105,29 @@ def ball_keys(fp: np.ndarray) -> np.ndarray:
     return np.concatenate(cols, axis=1)
 
 
-def group_numbers(fp: np.ndarray) -> np.ndarray:
-    """(n, 66) int64 groups that an entry is sent to: a segment and the leading bits of the values of its ball there."""
+def prefix_bits(entries: int) -> int:
+    """Leading bits that choose a group, for so many entries: groups of at most about ``GROUP_ROWS`` rows."""
+    bits = PREFIX
+    while bits < min(width for _, _, width in SEGMENTS) and entries * (1 + bits) > GROUP_ROWS << bits:
+        bits += 1
+    return bits
+
+
+def group_numbers(fp: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
+    """(n, 6 (1 + prefix)) int64 groups that an entry is sent to: a segment and the leading bits of the values of its ball there."""
     cols = []
     for s, (word, shift, width) in enumerate(SEGMENTS):
-        top = ((fp[:, word] >> np.uint64(shift + width - PREFIX)) & np.uint64((1 << PREFIX) - 1)).astype(np.int64)
-        flips = np.concatenate([[0], 1 << np.arange(PREFIX, dtype=np.int64)])
+        top = ((fp[:, word] >> np.uint64(shift + width - prefix)) & np.uint64((1 << prefix) - 1)).astype(np.int64)
+        flips = np.concatenate([[0], 1 << np.arange(prefix, dtype=np.int64)])
         cols.append((top[:, None] ^ flips[None, :]) | (s << 32))
     return np.concatenate(cols, axis=1)
 
 
-def group_keys(group: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(group: int, fp: np.ndarray, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and bucket keys of a group's entries: those of :func:`ball_keys` whose leading bits are the group's."""
-    s, top = group >> 32, group & ((1 << PREFIX) - 1)
+    s, top = group >> 32, group & ((1 << prefix) - 1)
     word, shift, width = SEGMENTS[s]
-    low = width - PREFIX
+    low = width - prefix
     v = ((fp[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
     # An entry with other leading bits has used its one flip on them.
     rest = (v & ((1 << low) - 1)) | (top << low) | (s << 32)
@@ -128,16 +137,17 @@ def group_keys(group: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate([rest, (rest[same][:, None] ^ flips[None, :]).ravel()])
 
 
-def _sent_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for at in range(0, b.num_rows, 1000):
-            c = b.slice(at, 1000)
-            cols = [c.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            groups = group_numbers(np.stack(cols[1:], axis=1).view(np.uint64))
-            n = groups.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(groups.ravel()), *(pa.array(np.repeat(x, n)) for x in cols)], ["g", "id", "f0", "f1"]
-            )
+def _sender(prefix: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
+                cols = [c.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                groups = group_numbers(np.stack(cols[1:], axis=1).view(np.uint64), prefix)
+                n = groups.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), *(pa.array(np.repeat(x, n)) for x in cols)], ["g", "id", "f0", "f1"])
+
+    return run
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -203,25 +213,41 @@ def bucket_edges(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> np.ndarray
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def _edge_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in it if b.num_rows]
-    if not parts:
-        return
-    group, ids, f0, f1 = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    order = np.argsort(group, kind="stable")
-    group, ids, fp = group[order], ids[order], np.stack([f0[order], f1[order]], axis=1).view(np.uint64)
-    for start, end in zip(cuts := np.flatnonzero(np.diff(group, prepend=-1)), [*cuts[1:], len(group)]):
-        rows, keys = group_keys(int(group[start]), fp[start:end])
-        e = bucket_edges(keys, ids[start:end][rows], fp[start:end][rows])
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+def _edge_finder(prefix: int):
+    """Edges of each group of a partition sorted by group; one group is in memory at a time."""
+
+    def found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        group, ids, f0, f1 = (np.concatenate(x) for x in zip(*parts))
+        fp = np.stack([f0, f1], axis=1).view(np.uint64)
+        rows, keys = group_keys(int(group[0]), fp, prefix)
+        e = bucket_edges(keys, ids[rows], fp[rows])
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for b in it:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            starts = np.flatnonzero(np.diff(cols[0], prepend=parts[-1][0][-1] if parts else -1))
+            # All but the first run begin a group.
+            for k, (at, end) in enumerate(zip([0, *starts], [*starts, b.num_rows])):
+                if k and parts:
+                    yield found(parts)
+                    parts = []
+                if end > at:
+                    parts.append([c[at:end] for c in cols])
+        if parts:
+            yield found(parts)
+
+    return run
 
 
 def near_edges(entries: DataFrame) -> DataFrame:
     """(a, b) id pairs whose transitive closure is that of all pairs of ``entries`` (id, f0, f1) within the distance."""
-    n = partitions_for(entries.sparkSession, entries.count() * len(SEGMENTS) * (1 + PREFIX), SENT_ROWS)
-    table = map_arrow(entries, _sent_batches, "g long, id long, f0 long, f1 long")
-    return map_arrow(table.repartition(n, "g"), _edge_batches, "a long, b long")
+    count = entries.count()
+    prefix = prefix_bits(count)
+    n = partitions_for(entries.sparkSession, count * len(SEGMENTS) * (1 + prefix), SENT_ROWS)
+    table = map_arrow(entries, _sender(prefix), "g long, id long, f0 long, f1 long")
+    return map_arrow(table.repartition(n, "g").sortWithinPartitions("g"), _edge_finder(prefix), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

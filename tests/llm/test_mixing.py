@@ -76,3 +76,23 @@ def test_no_tokens(spark, rows):
 def test_coins_are_even(spark):
     u = [r[0] for r in spark.range(4000).select(M.coin("id")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.03
+
+
+def test_targets_that_cant_be_met_are_refused(spark):
+    rows = [(i, "w " * 10, "ab"[i % 2], "xy"[i % 2]) for i in range(100)]
+    with pytest.raises(M.UnmetTargets, match="source"):
+        M.rated(docs(spark, rows), targets={"source": {"nowhere": 1}})
+    with pytest.raises(M.UnmetTargets, match="together"):
+        M.mixed(docs(spark, rows), targets={"source": {"a": 1, "b": 3}, "lang": {"x": 3, "y": 1}})
+
+
+def test_tokens_are_counted_once_a_pass(spark):
+    df = M.mixed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") + plan.count("regexp_extract_all") == 1 and "regexp_replace" not in plan
+
+
+def test_tokens_are_runs_between_white_space(spark):
+    texts = ["a  b\t\nc", " ", "", None, "\u00a0x y", "one", " lead and trail \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(M.token_count()).collect()] == [3, 0, 0, 0, 2, 1, 3]

@@ -13,6 +13,7 @@ no shuffle: copies average the rate, and are floor(rate) or one more.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ LONGEST, HALVINGS, STALLED = 4.0, 12, 5
 #: Most categories of all constraints together: the Hessian of so many is solved on the driver.
 MAX_CATEGORIES = 5000
 SEED = 1
+#: Largest error of given targets, as a share of all tokens, that is taken for met.
+UNMET = 1e-3
 
 
 @dataclass
@@ -45,10 +48,13 @@ class Tilt:
     error: float
 
 
+class UnmetTargets(ValueError):
+    """No rates meet the given targets, or the corpus has none of their values."""
+
+
 def token_count(text_col: str = "text") -> Column:
     """Words between white space; 0 for null and blank texts."""
-    t = F.trim(F.regexp_replace(quoted(text_col), r"\s+", " "))
-    return F.when(t.isNull() | (t == ""), F.lit(0)).otherwise(F.size(F.split(t, " "))).cast("long")
+    return F.coalesce(F.regexp_count(quoted(text_col), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def length_band(tokens: Column) -> Column:
@@ -165,7 +171,9 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
     The constraints are the token shares of each of ``columns`` and of the bands of document length; all tokens
     together stay as many. A column's ``targets`` are shares by value (scaled to sum to 1; values that the corpus
     lacks are left out, values without one get rate 0); otherwise its present shares are tempered by ``power``. Bands
-    keep their shares. A null value is a category of its own. Texts that are null or blank have 0 tokens and count
+    keep their shares. Given targets that can't be met to ``UNMET``, or of whose values the corpus has none, are an
+    :class:`UnmetTargets`; tempered shares that exclude each other, as in tables of a few rows, give the nearest tilt
+    and a warning. A null value is a category of its own. Texts that are null or blank have 0 tokens and count
     nowhere, but are rated like others; a combination of categories with no tokens at all may have any rate. Rows that
     repeat are rated alike and count each. An empty table gives none.
     """
@@ -182,8 +190,14 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
         if targets and c in targets:
             given = {("null" if v is None else f"={v}"): float(x) for v, x in targets[c].items()}
             given = {v: x for v, x in given.items() if v in shares[i] and x > 0}
+            if shares[i] and not given:
+                raise UnmetTargets(f"no document with tokens has a value of the targets of {c}")
             shares[i] = {v: x / sum(given.values()) for v, x in given.items()}
     tilt = solve(table, shares)
+    if tilt.error > UNMET:
+        if targets:
+            raise UnmetTargets(f"the targets can't be met together: off by {tilt.error:.2%} of all tokens")
+        warnings.warn(f"the tempered shares exclude each other: the nearest tilt is off by {tilt.error:.2%} of all tokens", stacklevel=2)
     out = docs.withColumn("rate", _rate(constraints, tilt))
     return out.withColumn("copies", F.floor(F.col("rate") + coin(id_col)).cast("int")), tilt
 
@@ -193,5 +207,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
     ids = unused(docs.columns, "__copies")
     rows, _ = rated(docs.withColumns({unused(docs.columns, f"__had_{c}"): quoted(c) for c in docs.columns if c.lower() in ("tokens", "rate", "copies")}), id_col, text_col, columns, targets, power)
     back = [quoted(unused(docs.columns, f"__had_{c}")).alias(c) if c.lower() in ("tokens", "rate", "copies") else quoted(c) for c in docs.columns]
-    repeated = rows.where("copies > 0").withColumn(ids, F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    # No filter on the copies: it would be pushed below the count of tokens and repeat it. No copies explode to no row.
+    repeated = rows.withColumn(ids, F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return repeated.select(*back)

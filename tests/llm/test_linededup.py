@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewarp.llm.cuckoo import Cuckoo, CuckooFull
-from tracewarp.llm.linededup import LineIndex, deduped
+from tracewarp.llm import linededup
+from tracewarp.llm.linededup import LineIndex, deduped, deduped_in_batches
 
 SCHEMA = "h1 int, doc_id long, text string, __doc string, pos int, `__gone.x` string"
 
@@ -142,3 +143,54 @@ def test_empty_table(spark):
     assert out(index.insert(docs(spark, []))) == []
     index.delete(spark.createDataFrame([(1,)], "doc_id long"))
     assert state(index) == ([], [], 0)
+
+
+def rows_in(spark, index, what):
+    return {v: spark.read.parquet(f"{index.path}/{what}/{v}").count() for v in index.parts[what]}
+
+
+def test_a_change_costs_what_its_batch_has(spark):
+    index = LineIndex(spark)
+    index.insert(docs(spark, [(i, f"a{i}\nb{i}") for i in range(2000)]))
+    index.insert(docs(spark, [(5000, "a7\nnew")]))
+    assert index.parts["refs"] == [1, 2] and rows_in(spark, index, "refs") == {1: 4000, 2: 2} and rows_in(spark, index, "lines") == {1: 4000, 2: 2}
+    assert rows_in(spark, index, "filters") == {1: linededup.LEAST_SHARDS, 2: 1}
+    restored = index.delete(spark.createDataFrame([(7,)], "doc_id long"))
+    assert [(r.doc_id, r.pos) for r in restored.collect()] == [(5000, 0)]
+    assert rows_in(spark, index, "gone") == {3: 1} and index.parts["refs"] == [1, 2] and rows_in(spark, index, "filters")[3] == 1
+    scan = index._some(index._read("refs", index.REFS), "shard", spark.createDataFrame([(3,)], "shard int"))
+    assert "PushedFilters: [In(shard" in scan._jdf.queryExecution().toString() or "EqualTo(shard,3)" in scan._jdf.queryExecution().toString()
+
+
+def test_compaction_leaves_the_index_as_it_was(spark, monkeypatch):
+    index = LineIndex(spark)
+    index.insert(docs(spark, [(i, f"a{i}\nb{i % 7}") for i in range(300)]))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long"))
+    before = state(index)
+    index.compact()
+    assert state(index) == before and index.parts["gone"] == []
+    monkeypatch.setattr(linededup, "SHARD_LINES", 8)
+    index.compact()
+    assert state(index) == before and index.parts["shards"] == 32 and index.filters().count() == 32
+    again = LineIndex(spark, index.path)
+    assert again.parts == index.parts
+    assert out(again.insert(docs(spark, [(900, "a1\na3\nb2\nc")]))) == [(900, "a3\nc")]
+    monkeypatch.setattr(linededup, "COMPACT_AT", 1)
+    got = again.insert(docs(spark, [(901, "c\nd")]))
+    assert len(again.parts["refs"]) == 1 and out(got) == [(901, "d")]
+
+
+def test_a_deleted_document_may_come_again(spark):
+    index, one = LineIndex(spark), spark.createDataFrame([(1,)], "doc_id long")
+    index.insert(docs(spark, [(1, "x\ny"), (2, "y\nz")]))
+    index.delete(one)
+    assert out(index.insert(docs(spark, [(1, "x\ny\nz")]))) == [(1, "x")]
+    index.delete(one)
+    assert sorted(r["count"] for r in index.counts().collect()) == [1, 1]
+
+
+def test_batches_give_what_one_gives(spark):
+    rows = [(i * 3, f"l{i % 11}\nm{i % 5}\nn{i}") for i in range(64)] + [(None, "l3\nq"), (4, None), (190, "")]
+    assert out(deduped_in_batches(docs(spark, rows))) == out(deduped(docs(spark, rows)))
+    assert out(deduped_in_batches(docs(spark, []))) == [] and out(deduped_in_batches(docs(spark, [(None, "a\na")]))) == [(None, "a")]
+    assert out(deduped_in_batches(docs(spark, [(1, "a\na")]))) == [(1, "a")]

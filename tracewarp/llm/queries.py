@@ -61,8 +61,8 @@ HAVING bool_or(NOT blank AND nth = 1) OR bool_and(blank)"""
 
 @query(OP7_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): all documents inserted into a new index, without repeated lines; emptied documents go."""
-    return linededup.deduped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """(doc_id, text): all documents, inserted in batches of which the last is deleted and inserted again, without repeated lines; emptied documents go."""
+    return linededup.deduped_in_batches(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query()

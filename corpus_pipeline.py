@@ -32,10 +32,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id; documents without an id or a word all stay.
+
+    Near copies are told by the texts that line dedup left: one of which only the changed lines are left is no longer
+    near to its original.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as it has copies, by the tempered shares of sources and languages; one of no copies goes."""
     return mixing.mixed(docs)
 
 

@@ -152,3 +152,24 @@ def test_watermark_never_goes_back_and_releases_in_order(events):
         assert got == sorted(got)
         out += got
     assert len(out) + len(t.drain()) + t.counts.get("beyond_grace", 0) == len(events)
+
+
+def test_batches_by_rows_and_age():
+    from tracewarp.streaming.batcher import Batcher
+
+    b = Batcher(max_rows=3, max_age_ns=10)
+    assert b.push("m", "c", 5, 0, {"i": 1}) == [] and b.push("m", "b", 5, 1, {"i": 2}) == [] and b.push("l", "x", 1, 2, {"i": 9}) == []
+    assert b.push("m", "a", 4, 3, {"i": 3}) == [("m", [{"i": 3}, {"i": 1}, {"i": 2}])]
+    assert b.push("m", "d", 1, 12, {"i": 4}) == [("l", [{"i": 9}])] and b.advance(21) == [] and b.flush() == [("m", [{"i": 4}])] and b.flush() == []
+
+
+def test_inspector_reads_progress(spark, tmp_path, run):
+    from tracewarp.streaming.inspector import inspect, inspect_query
+
+    df = S.window_average(S.with_event_ts(source(spark, tmp_path, [rows(20)]), SEC), 5 * SEC)
+    q = df.writeStream.outputMode("append").format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "seen")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [inspect(p if isinstance(p, dict) else __import__("json").loads(p.json)) for p in q.recentProgress]
+    assert sum(g["input_rows"] for g in got) == 20 and any(o["state_rows"] for g in got for o in g["operators"]) and inspect_query(q)["name"] == "seen"
+    assert max(g["watermark_ns"] or 0 for g in got) == BASE + 19 * SEC // 2 - SEC
+    assert inspect(None)["operators"] == []

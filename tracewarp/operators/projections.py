@@ -52,7 +52,18 @@ def topology(spans: DataFrame, cursor_ns: int) -> tuple[DataFrame, DataFrame]:
     return graph.service_nodes(s), graph.service_edges(s)
 
 
-def trace_detail(spans: DataFrame, trace_id: str) -> DataFrame:
-    """The spans of a trace with what of the critical path is theirs."""
+def trace_detail(spans: DataFrame, trace_id: str, onset_ns: int | None = None) -> dict[str, DataFrame]:
+    """A trace by its parts: ``spans``, the ``critical_path`` by service and, of a failed trace, its ``cohort`` and ``comparison``.
+
+    The cohort are healthy traces like it that began before the onset, and the comparison holds its spans against those
+    of the cohort's median; both are empty for a trace without a failed span.
+    """
     one = spans.where(F.col("trace_id") == trace_id)
-    return graph.trace_spans(one).join(graph.critical_paths(one).select("trace_id", "service", "contribution_ns"), ["trace_id", "service"], "left")
+    # Only healthy traces can be in the cohort, so the other failed ones needn't be matched.
+    failed = spans.groupBy("trace_id").agg(F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed")).where((F.col("trace_id") != trace_id) & F.col("failed"))
+    near = spans.join(failed, "trace_id", "left_anti")
+    cohort = graph.healthy_cohorts(near, onset_ns).where(F.col("failed_trace_id") == trace_id)
+    pairs = cohort.where("median_trace_id is not null").select("failed_trace_id", F.col("median_trace_id").alias("healthy_trace_id"))
+    both = near.join(pairs.select(F.explode(F.array("failed_trace_id", "healthy_trace_id")).alias("trace_id")), "trace_id", "left_semi")
+    path = graph.critical_paths(one).select("trace_id", "service", "contribution_ns", "envelope_ns")
+    return {"spans": graph.trace_spans(one), "critical_path": path, "cohort": cohort, "comparison": graph.compare_traces(both, pairs)}

@@ -13,8 +13,8 @@ from tracewarp.functions.eventtime import hop_starts, tumble_start
 from tracewarp.operators import graph, inference, ingest, joins, relational, windows
 from tracewarp.operators.inference import Incident
 from tracewarp.plans import inference_sql as sql
-from tracewarp.sources.telemetry import DAY_NS, HOUR_NS, changes, logs, metrics, spans, table, with_views
-from tracewarp.tables import written
+from tracewarp.sources.telemetry import DAY_NS, HOUR_NS, changes, logs, metrics, metrics_of, spans, table, with_views
+from tracewarp.tables import fresh_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,65 @@ def sql_arith_like(spark, sf_dir):
     return s.query(text)
 
 
+def _dialect(spark, sf_dir, text: str, **bounds) -> DataFrame:
+    """A statement of the dialect over the views."""
+    from tracewarp.plans.dialect import Session
+
+    return Session(spark, {"metrics": metrics(spark, sf_dir), "deployments": changes(spark, sf_dir), "logs": logs(spark, sf_dir)}, **bounds).query(text)
+
+
+@query(with_views("metrics", """
+SELECT event_id, service, value FROM metrics WHERE name NOT LIKE '%lat%' AND NOT name LIKE 'q_eue%' AND (value > 90 OR service = 'svc-2' OR value < -1.5)"""))
+def sql_not_like(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT event_id, service, value FROM metrics WHERE name NOT LIKE '%lat%' AND NOT name LIKE 'q_eue%' AND (value > 90 OR service = 'svc-2' OR value < -1.5)")
+
+
+@query(with_views("metrics", f"""
+SELECT service, event_time - event_time % {DAY_NS} AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n FROM metrics WHERE name LIKE '%error_rate%' GROUP BY ALL"""))
+def sql_tumble(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT service, TUMBLE(event_time, '86400s') AS window_start, AVG(value) AS avg_value, COUNT(*) AS n FROM metrics WHERE name LIKE '%error_rate%' GROUP BY service, TUMBLE(event_time, '86400s')").withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query(with_views("metrics", f"""
+SELECT service, w AS window_start, max(value) AS most, count(*) AS n FROM (
+  SELECT service, value, unnest([event_time - event_time % {6 * HOUR_NS} - i * {6 * HOUR_NS} FOR i IN range(4)]) AS w, event_time FROM metrics)
+WHERE w >= 0 AND event_time < w + {DAY_NS} GROUP BY service, w"""))
+def sql_hop(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT service, HOP(event_time, '1440m', '360m') AS window_start, MAX(value) AS most, COUNT(*) AS n FROM metrics GROUP BY service, HOP(event_time, '1440m', '360m')")
+
+
+@query(with_views("metrics", """
+SELECT count(*) AS n, count(value) AS counted, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(max(value) - min(value), 6) AS spread FROM metrics WHERE service <> 'svc-4'"""))
+def sql_global_aggregate(spark, sf_dir):
+    out = _dialect(spark, sf_dir, "SELECT COUNT(*) AS n, COUNT(value) AS counted, SUM(value) AS total, AVG(value) AS mean, MIN(value) AS low, MAX(value) AS high, MAX(value) - MIN(value) AS spread FROM metrics WHERE service <> 'svc-4'")
+    return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6), "spread": F.round("spread", 6)})
+
+
+@query(with_views("metrics", "\nSELECT DISTINCT service, name FROM metrics WHERE value > 10"))
+def sql_groups_alone(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT service, name FROM metrics WHERE value > 10 GROUP BY service, name")
+
+
+@query(with_views("metrics changes", f"""
+SELECT m.event_id, m.value, c.change_id, c.change_type, c.version_after, m.event_time - c.event_time AS delay_ns
+FROM metrics m LEFT JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {HOUR_NS} AND m.event_time + {2 * HOUR_NS} WHERE m.name LIKE '%lat%'"""))
+def sql_left_join(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT event_id, value, change_id, change_type, version_after, delay_ns FROM metrics LEFT JOIN deployments ON service = service WHERE name LIKE '%lat%'", lookback_ns=HOUR_NS, lookahead_ns=2 * HOUR_NS)
+
+
+@query(with_views("metrics changes", f"""
+SELECT m.service, c.change_type, count(*) AS n, round(avg(m.value), 6) AS mean
+FROM metrics m JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {HOUR_NS} AND m.event_time + {2 * HOUR_NS} GROUP BY ALL"""))
+def sql_inner_join(spark, sf_dir):
+    out = _dialect(spark, sf_dir, "SELECT service, change_type, COUNT(*) AS n, AVG(value) AS mean FROM metrics INNER JOIN deployments ON service = service GROUP BY service, change_type", lookback_ns=HOUR_NS, lookahead_ns=2 * HOUR_NS)
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query(with_views("logs", "\nSELECT severity, count(*) AS n, min(event_time) AS first_time FROM logs GROUP BY severity ORDER BY n DESC, severity LIMIT 1"))
+def sql_order_limit(spark, sf_dir):
+    return _dialect(spark, sf_dir, "SELECT severity, COUNT(*) AS n, MIN(event_time) AS first_time FROM logs GROUP BY severity ORDER BY n DESC, severity LIMIT 1")
+
+
 # Aggregates and percentiles.
 
 
@@ -139,6 +198,12 @@ def ddsketch_percentiles(spark, sf_dir):
     return out.withColumns({p: F.round(p, 6) for p in windows.P})
 
 
+@query(with_views("metrics", _sketch_sql("service", "metrics")).replace("CAST(max(n) AS BIGINT) AS count, ", ""))
+def sql_percentiles(spark, sf_dir):
+    out = _dialect(spark, sf_dir, "SELECT service, P50(value) AS p50, P95(value) AS p95, P99(value) AS p99 FROM metrics GROUP BY service")
+    return out.withColumns({p: F.round(p, 6) for p in windows.P})
+
+
 @query(with_views("metrics", _sketch_sql("service", "metrics")))
 def ddsketch_merge(spark, sf_dir):
     """Sketches of two halves, merged."""
@@ -202,6 +267,31 @@ def deploy_correlation(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("p99_before", "p99_after")})
 
 
+@query(with_views("metrics changes", f"""
+SELECT m.event_id, m.service, m.event_time, c.change_id, c.change_type, c.version_after, c.event_time AS change_time, m.event_time - c.event_time AS delay_ns, m.name, m.value
+FROM metrics m JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {HOUR_NS} AND m.event_time + {HOUR_NS}"""))
+def join_of_repeated_changes(spark, sf_dir):
+    """Changes that arrive three times count once."""
+    c = changes(spark, sf_dir)
+    return joins.change_join(metrics(spark, sf_dir), c.union(c).union(c), HOUR_NS, HOUR_NS, "inner")
+
+
+_P99 = _sketch_sql("service, window_start", f"(SELECT service, value, event_time - event_time % {DAY_NS} AS window_start FROM metrics WHERE name LIKE '%lat%')").replace("\nSELECT service, window_start, CAST", ",\nq AS (SELECT service, window_start, CAST") + ")"
+
+
+@query(with_views("metrics changes", f"""{_P99},
+j AS (SELECT c.change_id, c.service, c.event_time AS ct, m.event_id AS ref FROM metrics m JOIN changes c ON m.service = c.service AND c.event_time BETWEEN m.event_time - {HOUR_NS} AND m.event_time + {HOUR_NS}),
+k AS (SELECT change_id, service, ct, count(*) AS matches, array_to_string(list_sort(list(DISTINCT ref)), ' ') AS refs FROM j GROUP BY ALL),
+w AS (SELECT k.*, max_by(p99, window_start) FILTER (window_start + {DAY_NS} <= ct) AS p99_before, min_by(p99, window_start) FILTER (window_start >= ct) AS p99_after FROM k LEFT JOIN q ON q.service = k.service GROUP BY ALL),
+f AS (SELECT w.change_id, min(window_start) AS first_anomaly FROM w JOIN q ON q.service = w.service AND window_start >= ct AND p99 >= greatest(1.5 * coalesce(p99_before, 0), 1) GROUP BY ALL)
+SELECT w.change_id, service, matches, refs, p99_before, p99_after, first_anomaly, first_anomaly - ct AS delay_ns FROM w LEFT JOIN f ON f.change_id = w.change_id"""))
+def emit_correlation(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    emits = joins.change_join(m, changes(spark, sf_dir), HOUR_NS, HOUR_NS).select("change_id", "service", "change_time", F.col("event_id").alias("telemetry_ref"))
+    p99 = windows.window_percentiles(m, DAY_NS).withColumn("p99", F.round("p99", 6))
+    return joins.emit_correlation(emits, p99).withColumn("refs", F.array_join("refs", " "))
+
+
 _HEAT = f"SELECT service, event_time - event_time % {DAY_NS} AS window_start, avg(value) AS v, count(*) AS n FROM metrics WHERE name LIKE '%lat%' OR name LIKE '%err%' OR name LIKE '%mem%' GROUP BY ALL"
 
 
@@ -222,6 +312,60 @@ def heatmap_p99_merge(spark, sf_dir):
     return out.select("service", "window_start", *(F.round(c, 6).alias(c) for c in ("avg_value", "p99", "value")))
 
 
+#: What keeps sums of another order from falling to the other side of a rounding.
+_NUDGE = 1e-9
+
+
+@query(ORACLES["heatmap_p99_merge"].replace("round(v, 6)", f"round(v + {_NUDGE}, 6)"))
+def streaming_heatmap(spark, sf_dir):
+    """The heatmap as a stream emits it, of all metrics, from its revisions."""
+    from tracewarp.streaming import windows as streaming
+
+    path, checkpoint = fresh_path(spark, "heatmap"), fresh_path(spark, "heatmap-checkpoint")
+    # A glob, as a stream reads folders; the views read what they are given.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streaming.heatmap(metrics_of(events), DAY_NS, 40 * DAY_NS, GRACE_NS)
+        q = out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: df.write.mode("append").parquet(path)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if old is None else spark.conf.set(provider, old)
+    cells = streaming.heatmap_cells(spark.read.parquet(path))
+    avg = F.round(F.col("avg_value") + _NUDGE, 6)
+    return cells.select("service", "window_start", avg.alias("avg_value"), F.round("p99", 6).alias("p99"), F.coalesce(F.round("p99", 6), avg).alias("value"))
+
+
+# Sources.
+
+
+@query(with_views("metrics", "\nSELECT 'inc-' || service AS incident_id, event_id, service, event_time, name, 'gauge' AS kind, value FROM metrics"))
+def incident_folders(spark, sf_dir):
+    """The metrics as incident folders, one a service, found, validated and read again."""
+    from tracewarp.sources import incidents
+
+    root = fresh_path(spark, "incidents")
+    rows = metrics(spark, sf_dir).withColumn("payload_json", F.to_json(F.struct("name", "value", F.lit("GAUGE").alias("kind"))))
+    incidents.export(rows.withColumn("incident_id", F.concat(F.lit("inc-"), "service")).withColumnRenamed("event_time", "event_time_ns"), root, "tables")
+    found = incidents.load(spark, [e.path for e in incidents.discover(root)]).metrics
+    return found.select("incident_id", "event_id", "service", "event_time", "name", "kind", "value")
+
+
+_NUMBER = "CASE WHEN value = floor(value) THEN printf('%.0f', value) ELSE CAST(value AS VARCHAR) END"
+
+
+@query(with_views("metrics logs changes", f"""
+SELECT event_time, event_id, 'metric' AS lane, service, name || ' = ' || {_NUMBER} AS summary FROM metrics
+UNION ALL SELECT event_time, event_id, 'log', service, '[' || severity || '] ' || body FROM logs
+UNION ALL SELECT event_time, event_id, 'change', service, CASE change_type WHEN 'featureflag' THEN 'feature_flag' ELSE change_type END || ' ' || change_id || ' to ' || version_after FROM changes"""))
+def timeline(spark, sf_dir):
+    from tracewarp.operators.projections import timeline as lanes
+
+    return lanes(metrics(spark, sf_dir), logs(spark, sf_dir), changes(spark, sf_dir))
+
+
 # Admission.
 
 _TWICE = "twice AS (SELECT *, event_time AS arrival FROM metrics UNION ALL SELECT event_id, event_time, service, name, value + 1, event_time + 5 FROM metrics WHERE CAST(event_id AS BIGINT) % 7 = 0)"
@@ -261,18 +405,30 @@ def arrival_sequence(spark, sf_dir):
     return ingest.arrival_numbers(m, ["arrival", "event_id"]).select("event_id", "ingest_sequence")
 
 
+_SIGNALS = ("metric", "span", "log", "deployment", "configuration", "alert", "annotation", "control", "unheard_of")
+
+
 @query(f"""
-SELECT CASE event_type WHEN 'error' THEN 'log' WHEN 'signup' THEN 'deployment' ELSE 'metric' END AS signal,
-  CASE event_type WHEN 'error' THEN 'log:svc-' || CAST(user_id % 8 AS VARCHAR) WHEN 'signup' THEN 'change:svc-' || CAST(user_id % 8 AS VARCHAR) ELSE 'metric:svc-' || CAST(user_id % 8 AS VARCHAR) || ':' || event_type END AS partition_key, count(*) AS n
-FROM events GROUP BY ALL""")
+WITH e AS (SELECT ({list(_SIGNALS)!r})[event_id % 9 + 1] AS signal, CASE WHEN event_id % 4 > 0 THEN 'svc-' || CAST(user_id % 8 AS VARCHAR) END AS service, event_type AS name, 't' || CAST(user_id % 50 AS VARCHAR) AS trace_id FROM events)
+SELECT signal, CASE WHEN signal = 'metric' THEN 'metric:' || coalesce(service, 'unknown') || ':' || name WHEN signal = 'span' THEN 'span:' || trace_id WHEN signal = 'log' THEN 'log:' || coalesce(service, 'unknown')
+  WHEN signal IN ('deployment', 'configuration') THEN 'change:' || coalesce(service, 'unknown') WHEN signal IN ('alert', 'annotation') THEN 'other:' || coalesce(service, 'unknown')
+  WHEN signal = 'control' THEN 'control' ELSE 'misc:' || coalesce(service, 'unknown') END AS partition_key, count(*) AS n FROM e GROUP BY ALL""")
 def partition_keys(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    signal = F.when(F.col("event_type") == "error", "log").when(F.col("event_type") == "signup", "deployment").otherwise("metric")
-    service = F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string"))
-    key = ingest.partition_key(signal, service, F.col("event_type"), F.lit(None).cast("string"))
+    signal = F.element_at(F.lit(list(_SIGNALS)), (F.col("event_id") % 9 + 1).cast("int"))
+    service = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string")))
+    key = ingest.partition_key(signal, service, F.col("event_type"), F.concat(F.lit("t"), (F.col("user_id") % 50).cast("string")))
     return e.groupBy(signal.alias("signal"), key.alias("partition_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, value FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0")
+def valid_events(spark, sf_dir):
+    """Events of another schema version, and ones with an empty or null id, are left out."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.when(i % 5 == 0, 2).otherwise(1).alias("schema_version"), F.when(i % 7 == 0, "").when(i % 11 == 0, None).otherwise(i.cast("string")).alias("event_id"), "value")
+    return ingest.valid(e).select("event_id", "value")
+
+
 @query("""
 SELECT event_type AS signal, count(*) AS events, count(DISTINCT user_id) AS distinct_events, count(*) - count(DISTINCT user_id) AS duplicates FROM events GROUP BY event_type""")
 def ingestion_stats(spark, sf_dir):

@@ -173,6 +173,41 @@ class Session:
     def evidence(self) -> DataFrame:
         return inference.evidence(self.root_causes())
 
+    def root_cause_view(self, top: int = 3) -> dict[str, DataFrame]:
+        """The ranking with its evidence, what that rests on, and the evidence graph, all of one set of features."""
+        d = self.at_cursor()
+        iv = inference.intervals_of(d)
+        ranked = inference.rank_candidates(inference.features(d, iv))
+        nodes, edges = inference.evidence_graph(ranked, d, iv, top)
+        return {"candidates": ranked, "evidence": inference.evidence(ranked), "refs": inference.evidence_refs(ranked, d, iv, top), "nodes": nodes, "edges": edges}
+
+    def trace(self, trace_id: str) -> dict[str, DataFrame]:
+        """A trace with its critical path and, if it failed, its cohort before the incident's onset and the comparison."""
+        d = self.at_cursor()
+        onset = inference.intervals_of(d).agg(F.min("start_ns")).first()[0]
+        return projections.trace_detail(d.spans, trace_id, onset)
+
+    def reset(self) -> None:
+        """Back to the beginning, at the first speed."""
+        self.clock = Clock(self.clock.start_ns, self.clock.end_ns)
+
+    def resync(self) -> dict:
+        """What a viewer that lost its place needs to go on."""
+        c = self.clock
+        return {"incident_id": self.incident_id, "cursor_ns": c.cursor_ns, "start_ns": c.start_ns, "end_ns": c.end_ns, "state": c.state, "speed": str(c.speed)}
+
+    def snapshot(self) -> dict:
+        """:meth:`resync` with the numbers of events up to the cursor by signal."""
+        return self.resync() | {"events": {r.signal: r.events for r in self.stats().collect()}}
+
+    def validate(self, sql: str) -> str | None:
+        """Why a statement isn't in the dialect, or None where it is; nothing is run."""
+        try:
+            self._dialect().query(sql)
+        except dialect.DialectError as e:
+            return str(e)
+        return None
+
     def stats(self) -> DataFrame:
         return ingest.counts_by_signal(incidents.envelopes(self.at_cursor()))
 

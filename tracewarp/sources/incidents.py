@@ -142,6 +142,26 @@ def load(spark: SparkSession, paths: list[str]) -> Incident:
     return Incident(*(_signal(spark, s, files[s]) for s in SIGNALS))
 
 
+def export(rows: DataFrame, root: str, dataset: str, signal: str = "metrics") -> None:
+    """Writes rows (incident_id, event_id, event_time_ns, service, payload_json) as incident folders below ``root``.
+
+    Spark writes the files, partitioned by incident; the driver adds a manifest to each folder. ``root`` is a folder
+    that the driver sees as a path.
+    """
+    base = Path(root.removeprefix("file://")) / dataset / "v1"
+    ends = {r.incident_id: r for r in rows.groupBy("incident_id").agg(F.min("event_time_ns").alias("a"), F.max("event_time_ns").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    aside = f"{root}/.{signal}"
+    rows.select("incident_id", "event_id", "event_time_ns", "service", "payload_json").repartition("incident_id").write.partitionBy("incident_id").parquet(aside)
+    for folder in Path(aside.removeprefix("file://")).glob("incident_id=*"):
+        incident = folder.name.split("=", 1)[1]
+        to = base / incident / signal
+        to.parent.mkdir(parents=True)
+        folder.rename(to)
+        files = [{"path": f"{signal}/{p.name}", "sha256": hashlib.sha256(p.read_bytes()).hexdigest()} for p in sorted(to.glob("*.parquet"))]
+        head = {"schema_version": 1, "dataset_id": dataset, "dataset_version": "v1", "incident_id": incident, "start_time_ns": ends[incident].a, "end_time_ns": ends[incident].b}
+        (base / incident / "manifest.json").write_text(json.dumps(head | {"signals": [signal], "event_counts": {signal: ends[incident].n}, "files": files}, indent=1))
+
+
 def envelopes(data: Incident) -> DataFrame:
     """All signals as one ordered stream: (incident_id, event_time, event_id, service, signal)."""
     change = F.when(F.col("change_type").isin("deployment", "rollback"), "deployment").otherwise("configuration")

@@ -28,6 +28,10 @@ def _service() -> F.Column:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_time (ns), service, name, value: one sample per event."""
+    return metrics_of(table(spark, sf_dir, "events"))
+
+
+def metrics_of(events: DataFrame) -> DataFrame:
     name = (
         F.when(F.col("event_type") == "click", "latency_ms")
         .when(F.col("event_type") == "view", "mem_ratio")
@@ -35,7 +39,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", "cpu_ratio")
         .otherwise("queue_depth")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("event_id"),
         _event_ns().alias("event_time"),
         _service().alias("service"),

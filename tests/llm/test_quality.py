@@ -73,3 +73,75 @@ def test_empty_tables_and_one_class(spark):
     assert Q.kept(docs(spark, []), labels(spark, lab)).count() == 0
     for x in ([], [(i, 1) for i in range(10)]):
         assert {r.score for r in Q.kept(docs(spark, d), labels(spark, x)).collect()} == {1.0}
+
+
+def brute_kept(spark, rows, labels, most=Q.MAX_LABELLED):
+    """(doc_id, score) that the query keeps, by dictionaries and loops: features, updates and scores are written anew."""
+    import math
+    import re
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    whole = 2**64
+
+    def vector(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", text)]
+        both = h + [0x5851F42D4C957F2D if a == b else (a * 0x9E3779B97F4A7C15 % whole) ^ ((b * 0xC2B2AE3D27D4EB4F + (a >> 7)) % whole) for a, b in zip(h, h[1:])]
+        count = {}
+        for x in both:
+            f = (x * 0x9E3779B97F4A7C15 % whole) >> 46
+            count[f] = count.get(f, 0) + 1
+        norm = math.sqrt(sum(c * c for c in count.values()))
+        return {f: c / norm for f, c in count.items()}
+
+    said = {}
+    for i, y in labels:
+        said.setdefault(i, set()).add(y)
+    fine = [i for i, y in said.items() if len(y) == 1]
+    order = {r.i: r.h for r in spark.createDataFrame([(i,) for i in fine], "i long").select("i", F.xxhash64("i").alias("h")).collect()}
+    chosen = set(sorted(fine, key=lambda i: (order[i], i))[:most])
+    seen = [(xxhash.xxh3_64_intdigest(str(i)), vector(t), next(iter(said[i]))) for i, t in rows if i in chosen and t and t.strip()]
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[f] - math.copysign(Q.L1, z[f])) / ((Q.BETA + math.sqrt(n[f])) / Q.ALPHA + Q.L2)
+
+    for _ in range(Q.EPOCHS):
+        for _, v, y in sorted(seen, key=lambda s: s[0]):
+            x = {**v, "bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * x[f] for f in x)))
+            for f in x:
+                g = (p - y) * x[f]
+                sigma = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / Q.ALPHA
+                z[f] = z.get(f, 0.0) + g - sigma * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    out = []
+    for i, t in rows:
+        v = vector(t or "")
+        s = 1 / (1 + math.exp(-sum(weight(f) * x for f, x in v.items()) - weight("bias"))) if v else 0.0
+        out.append((i, s))
+    return out
+
+
+def test_query_equals_loops_over_dictionaries(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    want = dict(brute_kept(spark, rows, labels))
+    from tracewarp.llm.queries import QUERIES
+
+    got = {r.doc_id: r.score for r in QUERIES["op4_quality_classifier"](spark, sf).collect()}
+    assert len({y for _, y in labels}) == 2 and 0 < len(got) < len(rows)
+    assert set(got) == {i for i, s in want.items() if s >= Q.THRESHOLD}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-4
+
+
+def test_names_with_dots(spark):
+    d, lab = corpus(20)
+    frame = spark.createDataFrame(d, "`doc.id` long, `a.text` string")
+    labs = spark.createDataFrame(lab, "`doc.id` long, `the.label` int")
+    assert Q.fit(frame, labs, "doc.id", "a.text", "the.label") is not None

@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     contrary labels, are left out.
     """
     good = (
-        labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
+        labels.select(quoted(id_col).cast("long").alias("__id"), quoted(label_col).cast("int").alias("__label"))
         .where("__id is not null and __label in (0, 1)")
         .groupBy("__id")
         .agg(F.min("__label").alias("__label"), F.max("__label").alias("__most"))
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(max_labelled)
         .select("__id", "__label")
     )
-    src = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
+    src = docs.select(quoted(id_col).cast("long").alias("__doc"), quoted(text_col).cast("string").alias("__text")).where("__text is not null")
     found = src.join(F.broadcast(good), F.col("__doc") == F.col("__id")).select("__id", "__label", "__text")
     rows = map_arrow(found, _feature_batches, "id long, label int, feature array<int>, value array<float>")
 

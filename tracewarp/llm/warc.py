@@ -28,10 +28,27 @@ _INDEX_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else
 DAMAGED = "damaged"
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+#: Compressed bytes of a record that are held back until it is known to be whole; longer ones are written as they come.
+HELD = 64 << 20
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark takes it: without a scheme it is of the cluster's default file system, on executors too."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def filesystem(path: str, default: str = "file:///") -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and its place there; one without a scheme is of the ``default``."""
+    if "://" not in path and not path.startswith("file:"):
+        path = default.rstrip("/") + "/" + path.lstrip("/") if not default.startswith("file:") else path
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def inflated(f) -> Iterator[bytes]:
@@ -111,6 +128,12 @@ def headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def _write(out, parts: list[bytes]) -> int:
+    for p in parts:
+        out.write(p)
+    return sum(map(len, parts))
+
+
 def normalise_stream(f, out) -> Iterator[dict]:
     """Writes each record of the gzip file ``f`` to ``out`` as a member of its own; yields their index entries.
 
@@ -121,15 +144,21 @@ def normalise_stream(f, out) -> Iterator[dict]:
     try:
         while head := reader.head():
             h = headers(head)
-            packed, digest, z = [], hashlib.md5(), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-            packed.append(z.compress(head))
-            for piece in reader.body(int(h["content-length"])):
-                digest.update(piece)
-                packed.append(z.compress(piece))
-            packed += [z.compress(b"\r\n\r\n"), z.flush()]
-            n = sum(map(len, packed))
-            for p in packed:
-                out.write(p)
+            digest, z = hashlib.md5(), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            packed, held, n = [z.compress(head)], 0, 0
+            try:
+                for piece in reader.body(int(h["content-length"])):
+                    digest.update(piece)
+                    packed.append(z.compress(piece))
+                    held += len(packed[-1])
+                    if held > HELD:
+                        n += _write(out, packed)
+                        packed, held = [], 0
+            except (EOFError, zlib.error):
+                if n:  # a part is written: its member is ended, so that the file can still be read through
+                    _write(out, [*packed, z.flush()])
+                raise
+            n += _write(out, [*packed, z.compress(b"\r\n\r\n"), z.flush()])
             yield {
                 "ordinal": ordinal, "offset": at, "length": n, "type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"),
                 "date": h.get("warc-date"), "payload_length": int(h["content-length"]), "payload_md5": digest.hexdigest(),
@@ -149,13 +178,14 @@ def normalise(spark: SparkSession, files: DataFrame, out_dir: str, path_col: str
     """
     paths = files.select(quoted(path_col).cast("string").alias("path")).where("path is not null").distinct()
     n = max(1, paths.count())
+    out_dir, default = qualified(spark, out_dir), qualified(spark, "/")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, base = filesystem(out_dir)
         to.create_dir(base, recursive=True)
         for b in it:
             for path in b.column(0).to_pylist():
-                fs, p = filesystem(path)
+                fs, p = filesystem(path, default)
                 name, tmp = hashlib.md5(path.encode()).hexdigest(), uuid.uuid4().hex
                 target, entries, chars = f"{out_dir.rstrip('/')}/{name}.warc.gz", [], 0
                 with fs.open_input_stream(p, compression=None) as f, to.open_output_stream(f"{base}/.{tmp}.gz", compression=None) as o, to.open_output_stream(f"{base}/.{tmp}.idx") as side:
@@ -210,6 +240,7 @@ def _record(page_id: int | None, url: str | None, html: str | None) -> bytes:
 
 def write_monolithic(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(path) of archives of one gzip stream each, one a task, that hold the pages as records; written once."""
+    out_dir = qualified(pages.sparkSession, out_dir)
     src = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), quoted(html_col).cast("string").alias("html"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     of another length than the most frequent one (of equally frequent ones the longest). Of rows that share an id the
     smallest vector counts.
     """
-    src = df.select(quoted(id_col).cast("long").alias("id"), quoted(vec_col).cast("array<float>").alias("v"))
+    src = df.select(quoted(id_col).cast("long").alias("id"), quoted(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = src.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     lengths = src.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -48,7 +48,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
 def shards(vecs: DataFrame, dim: int, pack: Callable[[np.ndarray, np.ndarray], dict[str, bytes]], fields: str) -> tuple[DataFrame, int]:

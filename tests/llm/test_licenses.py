@@ -30,6 +30,18 @@ def brute_header(model, text):
     return best if best[0] >= model.threshold else None
 
 
+def brute_licence(model, text):
+    """The whole licence that the whole text is, by dictionaries."""
+    c = Counter(L.words(text))
+    norm = sqrt(sum((n * model.all_idf.get(w, model.all_other)) ** 2 for w, n in c.items()))
+    best = (0.0, "")
+    for name, t in L.WHOLE_TEXTS.items():
+        dot = sum(c[w] * n * model.all_idf[w] ** 2 for w, n in t.items())
+        s = round(dot / norm / sqrt(sum((n * model.all_idf[w]) ** 2 for w, n in t.items())), 9) if norm else 0.0
+        best = min(best, (s, name), key=lambda f: (-f[0], f[1]))
+    return best if best[0] >= L.WHOLE else None
+
+
 def brute_paths(rows, model):
     """(doc_id, license, origin, inherited_from) by walking up from each file."""
     import re
@@ -37,8 +49,9 @@ def brute_paths(rows, model):
     own, given = {}, {}
     for i, path, text in rows:
         p = [x for x in path.split("/") if x]
-        found = brute_header(model, text or "")
-        own[i] = (p, found, bool(found and (model.whole(text) or re.search(L.LICENSE_FILE, p[-1] if p else ""))))
+        found, full = brute_header(model, text or ""), brute_licence(model, text or "")
+        found = full or found
+        own[i] = (p, found, bool(found and (full or model.whole(text) or re.search(L.LICENSE_FILE, p[-1] if p else ""))))
         if own[i][2]:
             d = "/".join(p[:-1])
             given[d] = min(given.get(d, (0.0, "")), found, key=lambda f: (-f[0], f[1]))
@@ -121,3 +134,10 @@ def test_passing_over_lines_loses_nothing(n, df):
     for _, t in L.TEMPLATES:
         kept = " ".join(w for w in L.words(t) if w not in model.signs)
         assert model.cosine(kept)[0] < model.threshold and model.header(f"a\n{t}\nb")
+
+
+@pytest.mark.parametrize("name", sorted(L.WHOLE_TEXTS))
+def test_a_whole_licence_is_known_with_its_names_filled_in(spark, name):
+    text = "\n".join(" ".join([w] * n) for w, n in L.WHOLE_TEXTS[name].items())
+    rows = [(1, "a/COPYING", f"Copyright (c) 2020 Some Body and others\n{text}"), (2, "a/b/c.py", "of the word"), (3, "x.py", "of the word")]
+    assert got(L.scan(frame(spark, rows))) == [(1, name, "file", None), (2, name, "inherited", "a"), (3, None, "none", None)]

@@ -1,9 +1,9 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-A template is the wording of a notice. Texts are compared with templates in the space of the templates' words, weighted
+A template is the wording of a notice, or the words of a whole licence. Texts are compared with templates in the space of the templates' words, weighted
 by counts of documents over the whole corpus; a word of no template weighs as the templates' average. Every line of a
 text, every sentence of a line or of a paragraph, every run of lines that could each belong to a notice, and every window
-of up to ``LONGEST`` lines with words is compared. The words of little weight are no sign of a notice: as long as they alone can't bring any template over the threshold, lines without
+of up to ``LONGEST`` lines with words is compared with the notices, and the text as a whole with the licences too. The words of little weight are no sign of a notice: as long as they alone can't bring any template over the threshold, lines without
 another template word can be passed over, which loses nothing.
 
 Files without a licence of their own take that of the nearest directory above them that holds a licence file. The
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarp.llm.common import map_arrow, quoted, text_chunks, written
+from tracewarp.llm.license_words import WHOLE_TEXTS
 
 THRESHOLD = 0.6
 #: Cosine from which a text is a notice and nothing else.
@@ -67,6 +68,8 @@ def words(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(w for _, t in TEMPLATES for w in words(t))
+#: Words that are counted over the corpus: those of the notices and of the whole licences.
+COUNTED = VOCABULARY.union(*WHOLE_TEXTS.values())
 #: Words of the longest template, and so the most lines with words that it can be wrapped into.
 LONGEST = max(len(words(t)) for _, t in TEMPLATES)
 #: Windows by their first lines that are bounded at a time.
@@ -85,6 +88,19 @@ class Model:
             v = {w: n * self.idf[w] for w, n in Counter(words(t)).items()}
             length = sqrt(sum(x * x for x in v.values()))
             self.templates.append((name, {w: x / length for w, x in v.items()}))
+        # Whole licences, in their own words and those of the notices.
+        self.all_idf = {w: log((1 + documents) / (1 + df.get(w, 0))) + 1 for w in sorted(COUNTED)}
+        self.all_other = sum(self.all_idf.values()) / len(self.all_idf)
+        self.place = {w: i for i, w in enumerate(self.all_idf)}
+        self.all_weights = np.array(list(self.all_idf.values()))
+        self.names = sorted(WHOLE_TEXTS)
+        self.licenses = np.array([[WHOLE_TEXTS[name].get(w, 0) for w in self.all_idf] for name in self.names]).T * self.all_weights[:, None]
+        self.licenses /= np.sqrt((self.licenses**2).sum(0))
+        # As below, for the licences: a text without any of the others is none of them.
+        order = np.argsort(self.all_weights, kind="stable")
+        mass = (self.licenses[order] ** 2).cumsum(0).max(1)
+        words_ = list(self.all_idf)
+        self.license_signs = frozenset(words_[i] for i in order[np.searchsorted(mass, WHOLE * WHOLE * 0.999) :])
         # Words of little weight, as many as together stay below the threshold in every template.
         left, weak = [threshold * threshold * 0.999] * len(self.templates), set()
         for w in sorted(self.idf, key=lambda w: (self.idf[w], w)):
@@ -100,12 +116,15 @@ class Model:
     def cosine(self, text: str) -> tuple[float, str]:
         """The largest cosine of the text with a template, and the template's licence; of equal ones the first by name."""
         counts = Counter(words(text))
-        v = {w: n * self.idf[w] for w, n in counts.items() if w in self.idf}
-        if not v:
+        known = [(self.column[w], n) for w, n in counts.items() if w in self.column]
+        if not known:
             return 0.0, ""
-        length = sqrt(sum(x * x for x in v.values()) + sum((n * self.other) ** 2 for w, n in counts.items() if w not in self.idf))
-        found = [(round(sum(x * t.get(w, 0.0) for w, x in v.items()) / length, 9), name) for name, t in self.templates]
-        return min(found, key=lambda f: (-f[0], f[1]))
+        at, n = (np.array(x) for x in zip(*known))
+        v = n * self.weights[at]
+        rest = sum(n * n for w, n in counts.items() if w not in self.column) * self.other**2
+        found = np.round(v @ self.matrix[at] / np.sqrt((v * v).sum() + rest), 9)
+        best = found.max()
+        return float(best), min(self.templates[i][0] for i in np.flatnonzero(found == best))
 
     def header(self, text: str | None) -> tuple[float, str] | None:
         """The best licence of a line, sentence, run or window of lines that reaches the threshold."""
@@ -169,6 +188,36 @@ class Model:
                     best = max(best, found[-1][0])
         return found
 
+    def licence(self, text: str) -> tuple[float, str]:
+        """The largest cosine of the text as a whole with a whole licence, and its name; of equal ones the first by name."""
+        counts = Counter(words(text))
+        known = [(self.place[w], n) for w, n in counts.items() if w in self.place]
+        if not known:
+            return 0.0, ""
+        at, n = (np.array(x) for x in zip(*known))
+        v = n * self.all_weights[at]
+        rest = sum(n * n for w, n in counts.items() if w not in self.place) * self.all_other**2
+        found = np.round(v @ self.licenses[at] / np.sqrt((v * v).sum() + rest), 9)
+        best = int(found.argmax())
+        return float(found[best]), self.names[best]
+
+    def of(self, text: str | None) -> tuple[tuple[float, str] | None, bool]:
+        """The text's licence with its score, and whether the text is a licence or notice and nothing else.
+
+        A text that is as a whole a licence, to ``WHOLE``, is that, whatever notices it quotes.
+        """
+        if not text:
+            return None, False
+        has = set(words(text))
+        if not self.license_signs.isdisjoint(has):
+            full = self.licence(text)
+            if full[0] >= WHOLE:
+                return full, True
+        if self.signs.isdisjoint(has):
+            return None, False
+        found = self.header(text)
+        return found, bool(found) and self.whole(text)
+
     def whole(self, text: str | None) -> bool:
         return bool(text) and self.cosine(text)[0] >= WHOLE
 
@@ -183,9 +232,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter = Counter()
         for b in it:
-            for t in b.column(0).to_pylist():
-                df[""] += 1
-                df.update(VOCABULARY.intersection(words(t)))
+            for _, texts in text_chunks(b, 0, 2_000_000):
+                for t in texts:
+                    df[""] += 1
+                    df.update(COUNTED.intersection(words(t)))
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(df), pa.string()), "n": pa.array(list(df.values()), pa.int64())})
 
     src = docs.select(quoted(text_col).cast("string").alias("t")).where("t is not null")
@@ -200,10 +250,9 @@ def own_licenses(files: DataFrame, model: Model, id_col: str, path_col: str, tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at, texts in text_chunks(b, 2, 2_000_000):
-                found = [model.header(t) for t in texts]
-                whole = [bool(f) and model.whole(t) for f, t in zip(found, texts)]
+                found, whole = zip(*(model.of(t) for t in texts))
                 part = b.slice(at, len(texts))
-                cols = [pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[0] for f in found], pa.float64()), pa.array(whole)]
+                cols = [pa.array([f and f[1] for f in found], pa.string()), pa.array([f and f[0] for f in found], pa.float64()), pa.array(whole, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["id", "path", "license", "score", "whole"])
 
     return map_arrow(src, run, "id long, path string, license string, score double, whole boolean")

@@ -101,6 +101,30 @@ def test_replay_at_a_cursor(spark, folder, replay):
     assert replay.case()["best_rank"] == 1
 
 
+def test_a_failed_trace_in_detail(replay):
+    d = replay.trace("trace-12-0")
+    assert d["spans"].count() == 3 and d["cohort"].first().confidence == 1.0 and len(d["cohort"].first().cohort) == 15
+    assert {r.service: r.contribution_ns for r in d["critical_path"].collect()}["recommendationservice"] > 0
+    assert {r.path.rsplit(":", 1)[1]: r.delta_ns for r in d["comparison"].collect()}["ListRecommendations"] > 0
+    assert replay.trace("trace-1-1")["cohort"].count() == 0
+
+
+def test_session_calls(spark, folder):
+    s = Replay(spark, folder)
+    s.clock.seek(s.clock.end_ns)
+    assert s.snapshot()["events"] == {"metric": 240, "span": 144, "log": 2, "deployment": 1} and s.resync()["cursor_ns"] == s.clock.end_ns
+    view = s.root_cause_view()
+    assert view["candidates"].where("rank = 1").first().service == "recommendationservice" and view["nodes"].count() == 14 and view["refs"].count() > 0
+    assert s.validate("SELECT COUNT(*) AS n FROM metrics") is None and "HAVING" in s.validate("SELECT COUNT(*) AS n FROM metrics GROUP BY service HAVING n > 1")
+    s.reset()
+    assert s.clock.cursor_ns == s.clock.start_ns and s.snapshot()["events"].get("deployment") is None
+
+
+def test_least_and_largest_times_keep_their_digits(spark):
+    t = spark.createDataFrame([("a", "n", 1.0, 1704067207179575043), ("a", "n", None, 1704067207179575041)], "service string, name string, value double, event_time long")
+    assert tuple(Session(spark, {"metrics": t}).query("SELECT MIN(event_time) AS a, MAX(event_time) AS b FROM metrics").first()) == (1704067207179575041, 1704067207179575043)
+
+
 def test_clock():
     c = Clock(100, 1000)
     assert c.tick(50) == 100

@@ -42,11 +42,14 @@ STEPS, RATE, DECAY = 120, 0.15, 5e-4
 MOST_SKIP = 2.5
 ROUNDS, DAMPING, SETTLED = 30, 0.3, 1e-4
 GATE, THRESHOLD = 7.0, 0.75
+#: Distinct tokens whose scores a worker remembers.
+REMEMBERED = 300_000
 SCHEMA = "doc_id long, start int, end int, label string, score double"
 
 EDGE = ".,;:!?*$%&#|<>[]{}\"'`"
 TOKEN = re.compile(r"\S+")
 DIGITS = re.compile(r"\d+")
+NUMBER = re.compile(r"[+(]*\d[\d()-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -135,7 +138,7 @@ class Tokens:
 
     def runs(self) -> tuple[np.ndarray, list[str]]:
         """(tokens, features): the first of each document, and of groups of digits that stand together what they are as one number."""
-        plain = np.array([bool(re.fullmatch(r"[+(]*\d[\d()-]*", d.strip(EDGE))) for d in self.distinct], bool)
+        plain = np.array([not d.isalpha() and NUMBER.fullmatch(d.strip(EDGE)) is not None for d in self.distinct], bool)
         if not len(self.kind):
             return np.zeros(0, np.int64), []
         is_ = plain[self.kind]
@@ -320,24 +323,36 @@ class Model:
     after: np.ndarray
     step: np.ndarray
     skip: np.ndarray
-    known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def of(self, tok: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What a token's features give its own labels, its successor's and its predecessor's."""
-        got = self.known.get(tok)
-        if got is None:
-            mine, seen = ([self.index[f] for f in fs if f in self.index] for fs in features(tok))
-            got = self.own[mine].sum(0), self.before[seen].sum(0), self.after[seen].sum(0)
-            if len(self.known) < 300_000:
-                self.known[tok] = got
-        return got
+    known: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 3 * K), np.float32))
+
+    def rows(self, distinct: list[str]) -> np.ndarray:
+        """(tokens, 3 K): what a token's features give its own labels, its successor's and its predecessor's. Remembered by token."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.table = {}, self.table[:0]
+        new = [d for d in distinct if d not in self.known]
+        if new:
+            get, own, seen, sizes = self.index.get, [], [], np.zeros((2, len(new)), np.int64)
+            for i, d in enumerate(new):
+                mine, theirs = features(d)
+                n = len(own), len(seen)
+                own += [k for f in mine if (k := get(f)) is not None]
+                seen += [k for f in theirs if (k := get(f)) is not None]
+                sizes[:, i] = len(own) - n[0], len(seen) - n[1]
+            out = np.zeros((len(new), 3 * K), np.float32)
+            at = [np.repeat(np.arange(len(new)), x) for x in sizes]
+            np.add.at(out[:, :K], at[0], self.own[own].astype(np.float32))
+            np.add.at(out[:, K:], at[1], np.concatenate([self.before[seen], self.after[seen]], axis=1).astype(np.float32))
+            first = len(self.table)
+            self.table = np.concatenate([self.table, out])
+            self.known.update(zip(new, range(first, first + len(new))))
+        return self.table[[self.known[d] for d in distinct]]
 
     def scores(self, t: Tokens) -> np.ndarray:
         """(tokens, labels) scores of all tokens, without neighbours' labels."""
         if not len(t.kind):
             return np.zeros((0, K), np.float32)
-        parts = [self.of(d) for d in t.distinct]
-        own, before, after = (np.array([p[i] for p in parts], np.float32) for i in range(3))
+        own, before, after = np.split(self.rows(t.distinct), 3, axis=1)
         out = own[t.kind]
         inside = np.flatnonzero(t.joined())
         out[inside + 1] += before[t.kind[inside]]
@@ -345,7 +360,7 @@ class Model:
         at, names = t.runs()
         known = np.array([self.index.get(f, -1) for f in names], np.int64)
         if len(at):
-            out[at[known >= 0]] += self.own[known[known >= 0]]
+            np.add.at(out, at[known >= 0], self.own[known[known >= 0]].astype(np.float32))
         return out
 
     def open(self, scores: np.ndarray, t: Tokens) -> np.ndarray:

@@ -108,3 +108,13 @@ def test_edge_cases(spark, f):
     clean = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (-10, [-1e30, 1e30])]
     assert same(got(f(frame(spark, rows), k=10)), brute(clean, 10))
     assert got(f(frame(spark, []))) == [] == got(f(frame(spark, [(1, [1.0, 2.0])])))
+
+
+def test_doubles_beyond_single_precision(spark):
+    rows = [(1, [1e39, 1e39]), (2, [1e300, 0.9e300]), (3, [-1.0, 1.0]), (4, [1.0, 1.0 + 1e-9]), (5, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(T.top_k(df, k=4))
+    u = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    for q, _, n, score in found:
+        assert score == pytest.approx(u[q] @ u[n] / np.sqrt((u[q] @ u[q]) * (u[n] @ u[n])), abs=1e-9)
+    assert len(found) == 20 and found[0][:3] == (1, 1, 4)

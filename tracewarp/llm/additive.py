@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as one entry of each of ``BOOKS`` full-dimensional codebooks, whose sum approximates it. Codebook m
-is the k-means of what codebooks before m leave over, computed over all vectors by distributed Lloyd steps. Encoding
+is the k-means of what codebooks before m leave over, computed over all vectors by two distributed passes. Encoding
 is a beam search over the books. A query scores a code by adding looked-up products of the query with the chosen
 entries, and the stored norm of the sum. The ``RERANK`` best codes of each shard are compared exactly, which gives a
 score that the k-th nearest has at least; then every code that can still reach it is compared exactly, as the stored
@@ -21,7 +21,9 @@ from tracewarp.llm.common import map_arrow, written
 from tracewarp.llm.topk import BLOCK, best, matrix, merged, pairs, shards, unit, vectors
 
 BOOKS, ENTRIES, BEAM = 8, 256, 8
-LLOYD_STEPS = 4
+#: Passes over the vectors a book. In the first each task moves its own copy of the entries as it reads; the last is a
+#: plain step of Lloyd's from what the tasks' copies average to.
+LLOYD_STEPS = 2
 #: Codes of each shard that are compared exactly at first, per query.
 RERANK = 128
 #: What single precision and the rounding of scores may take from a bound.
@@ -40,15 +42,19 @@ def _residuals(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def _sums(vecs: DataFrame, dim: int, books: list[np.ndarray], book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and number of the residuals nearest to each entry of ``book``: per task, then in a tree of two levels."""
+def _sums(vecs: DataFrame, dim: int, books: list[np.ndarray], book: np.ndarray, moving: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the residuals nearest to each entry of ``book``: per task, then in a tree of two levels.
+
+    With ``moving`` entries a task assigns each block of vectors to the means of those it has read before.
+    """
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(book), dim + 1))
         for b in it:
             for at in range(0, b.num_rows, 4096):
                 x = _residuals(unit(matrix(b.column(0).slice(at, 4096), dim)).astype(np.float32), books)
-                code = _nearest(x, book)
+                now = np.where(total[:, dim:] > 0, total[:, :dim] / np.maximum(total[:, dim:], 1), book).astype(np.float32) if moving else book
+                code = _nearest(x, now)
                 order = np.argsort(code, kind="stable")
                 some, first = np.unique(code[order], return_index=True)
                 total[some, :dim] += np.add.reduceat(x[order].astype(np.float64), first, axis=0)
@@ -78,8 +84,8 @@ def train(vecs: DataFrame, dim: int, books: int = BOOKS, entries: int = ENTRIES,
         start = np.concatenate([start, np.zeros((entries - len(start), dim), np.float32)])
     for _ in range(books):
         book = _residuals(start, out)
-        for _ in range(steps):
-            total, n = _sums(vecs, dim, out, book)
+        for step in range(steps):
+            total, n = _sums(vecs, dim, out, book, moving=step < steps - 1)
             book = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], book).astype(np.float32)
         out.append(book)
     return np.stack(out)

@@ -218,8 +218,10 @@ class LineIndex:
 
     def _by_line(self, refs: DataFrame) -> DataFrame:
         """References as they are written: neighbouring shards together, sorted, so that scans can pass others over."""
-        n, k = self.parts["shards"], self._tasks()
-        return refs.repartition(k, F.expr(f"(shard * {k}L) div {n}")).sortWithinPartitions("shard", "h1", "h2")
+        return refs.repartition(self._tasks(), self._block()).sortWithinPartitions("shard", "h1", "h2")
+
+    def _block(self) -> F.Column:
+        return F.expr(f"(shard * {self._tasks()}L) div {self.parts['shards']}")
 
     def _changed(self, keys: DataFrame, fresh: DataFrame | None = None) -> list[int]:
         """Writes the filters of the shards of ``keys`` (shard, h1, h2, op) and gives the versions that there are then.
@@ -274,14 +276,18 @@ class LineIndex:
             .agg(F.collect_set("pos").alias("gone"))
             .select("doc", "th", "gone")
         )
-        fresh = occ.groupBy("h1", "h2", "doc").agg(F.min(F.struct("th", "pos")).alias("at")).withColumn("shard", self._shard())
-        fresh = fresh.select("shard", "h1", "h2", "doc", batch.alias("batch"), "at.th", "at.pos")
-        if known is not None:
-            held = self._some(self.refs(), "shard", known.withColumn("shard", self._shard())).select("h1", "h2", "doc")
-            fresh = fresh.join(held, ["h1", "h2", "doc"], "left_anti").select(*(c.split()[0] for c in self.REFS.split(", ")))
         if not n:
             return self._apply(docs, written(gone, "gone"), id_col, text_col)
-        self._put("refs", self._by_line(fresh))
+        # Placed as they are written, so bringing a document's repeats of a line together takes no shuffle of its own.
+        placed = occ.withColumn("shard", self._shard()).withColumn("block", self._block()).repartition(self._tasks(), "block")
+        fresh = placed.groupBy("block", "shard", "h1", "h2", "doc").agg(F.min(F.struct("th", "pos")).alias("at"))
+        fresh = fresh.select("shard", "h1", "h2", "doc", batch.alias("batch"), "at.th", "at.pos")
+        if known is not None:
+            # Only a document that comes again holds lines already: those of the known ones that it has.
+            held = self._some(self.refs(), "shard", known.withColumn("shard", self._shard())).select("h1", "h2", "doc").join(known.select("h1", "h2"), ["h1", "h2"], "left_semi")
+            held = written(held.join(occ.select("doc").distinct(), "doc", "left_semi"), "held")
+            fresh = fresh.join(held, ["h1", "h2", "doc"], "left_anti").select(*(c.split()[0] for c in self.REFS.split(", "))) if held.limit(1).count() else fresh
+        self._put("refs", fresh.sortWithinPartitions("shard", "h1", "h2"))
         fresh = self.spark.read.schema(self.REFS).parquet(f"{self.path}/refs/{self.version + 1}")
         filters = self._changed(keys.where("not known").select("shard", "h1", "h2", F.lit(1).alias("op")), fresh)
         # Written, as the parts it is made of may be put together before the result is read.
@@ -295,7 +301,8 @@ class LineIndex:
     def _apply(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
         doc, th = _identity(id_col, text_col)
         d, h, g = (unused(docs.columns, n) for n in ("__doc", "__th", "__gone"))
-        j = docs.join(gone.toDF(d, h, g), (doc == F.col(d)) & (th == F.col(h)), "left")
+        # Joined by a shuffle at every size: the lists grow with the documents, and so would a broadcast of them.
+        j = docs.join(gone.toDF(d, h, g).hint("merge"), (doc == F.col(d)) & (th == F.col(h)), "left")
         some = F.col(g).isNotNull()
         cut = _without(F.when(some, quoted(text_col)), F.coalesce(F.col(g), F.array().cast("array<int>")))
         j = j.withColumn(text_col, F.when(some, cut).otherwise(quoted(text_col)))

@@ -62,6 +62,24 @@ def test_recall_of_additive_quantisation(spark):
     assert np.mean([len(want[q] & have[q]) / len(want[q]) for q in want]) >= 0.95
 
 
+def test_queries_divisible_by_fifty_against_all_rows(spark):
+    """The registered query: every 50th vector and no other asks, all rows answer, and nothing of the brute-force lists is lost."""
+    from tracewarp.llm.queries import QUERIES
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = [x for x in brute([(r.vec_id, list(r.embedding)) for r in df.collect()], 10) if x[0] % 50 == 0]
+    have = got(QUERIES["op5_additive_quantisation"](spark, "/root/testdata/sf0.1"))
+    assert len(want) == 400 and any(x[2] % 50 for x in want) and same(have, want)
+
+
+def test_queries_over_several_shards_negative_ids_and_none(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD", 60)
+    monkeypatch.setattr(A, "BLOCK", 7)
+    rows = [(i - 100, v) for i, v in random_rows(300)] + [(1000, random_rows(1)[0][1])]
+    assert same(got(A.neighbours(frame(spark, rows), k=5, every=4)), [x for x in brute(rows, 5) if x[0] % 4 == 0])
+    assert got(A.neighbours(frame(spark, [(i, v) for i, v in rows if i % 50]), k=5, every=50)) == []
+
+
 @pytest.mark.parametrize("dense", [A.DENSE, 2.0])
 def test_full_shards_and_groups_of_copies_lose_nothing(spark, monkeypatch, dense):
     """A shard of 8,000, with 400 near copies and 300 exact ones, and so more than are compared at first."""

@@ -80,6 +80,59 @@ def test_queries_over_several_shards_negative_ids_and_none(spark, monkeypatch):
     assert got(A.neighbours(frame(spark, [(i, v) for i, v in rows if i % 50]), k=5, every=50)) == []
 
 
+@pytest.mark.parametrize("sample", [100, 16384])
+def test_books_are_fitted_to_a_bounded_sample_and_every_row_is_coded(spark, monkeypatch, sample):
+    monkeypatch.setattr(A, "SAMPLE", sample)
+    monkeypatch.setattr(A, "ENTRIES", 16)
+    rows = random_rows(3000)
+    vecs, dim = T.vectors(frame(spark, rows))
+    seen = spark.sparkContext.accumulator(0)
+    fit = A.fit
+
+    def counted(x):
+        seen.add(len(x))
+        return fit(x, entries=16)
+
+    monkeypatch.setattr(A, "fit", counted)
+    books = A.train(vecs, dim)
+    assert books.shape == (A.BOOKS, 16, dim)
+    assert seen.value == 3000 if sample > 3000 else 50 < seen.value < 150  # in one pass
+    assert (books == A.train(vecs.repartition(7), dim)).all()
+    u = T.unit(np.array([v for _, v in rows]))
+    assert A.errors(u, A.encode(u, books)[0], books).mean() < 0.5
+
+
+def test_books_take_in_few_and_equal_vectors():
+    for x in (np.eye(3), np.ones((50, 3)) / 3**0.5):
+        books = A.fit(x)
+        assert books.shape == (A.BOOKS, A.ENTRIES, 3) and A.errors(x, A.encode(x, books)[0], books).max() < 1e-5
+
+
+@pytest.mark.parametrize("n", [3, 30, 500, 3000])
+def test_products_equal_double_precision(n):
+    """Scores that single precision can't tell apart, copies, and places that aren't asked for."""
+    rng = np.random.default_rng(n)
+    s = rng.normal(size=(n, 24))
+    s[: n // 2 : 7] = s[0] + rng.normal(size=(len(s[: n // 2 : 7]), 24)) * 1e-7
+    s[n // 2 :: 97] = s[n // 2]
+    s = T.unit(s)
+    q = np.concatenate([s[:20], T.unit(rng.normal(size=(20, 24)))])
+    ids = np.sort(rng.permutation(10 * n)[:n])
+    own = np.arange(min(n, 20)), np.arange(min(n, 20))
+    want = q @ s.T
+    want[own] = -np.inf
+    i, v = T.best(ids, want, 10)
+    j, w = A.product(q, s, ids, own, 10)
+    assert (i == j).all() and np.allclose(v, w, rtol=0, atol=1.1e-9)
+
+
+def test_shards_whose_codes_rule_out_little_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(A, "TRIAL", 5)
+    monkeypatch.setattr(A, "BLOCK", 50)
+    rows = random_rows(4000, dim=64) + [(5000 + i, v) for i, v in random_rows(300, dim=64)]
+    assert same(got(A.neighbours(frame(spark, rows), every=3)), [x for x in brute(rows, 10) if x[0] % 3 == 0])
+
+
 @pytest.mark.parametrize("dense", [A.DENSE, 2.0])
 def test_full_shards_and_groups_of_copies_lose_nothing(spark, monkeypatch, dense):
     """A shard of 8,000, with 400 near copies and 300 exact ones, and so more than are compared at first."""

@@ -126,6 +126,24 @@ def test_products_equal_double_precision(n):
     assert (i == j).all() and np.allclose(v, w, rtol=0, atol=1.1e-9)
 
 
+def test_products_of_many_dimensions_copy_few_rows_at_once():
+    """Copies enough that 10,000 pairs of 4,096 dimensions are computed in double: at once their rows would be 330 MB a side."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    s = T.unit(rng.normal(size=(2000, 4096)))
+    q = T.unit(rng.normal(size=(512, 4096)))
+    s[:30] = q[0]
+    q[1:300] = q[0]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tracemalloc.start()
+    i, v = A.product(q, s, np.arange(2000), none, 10)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    j, w = T.best(np.arange(2000), q @ s.T, 10)
+    assert (i == j).all() and np.allclose(v, w, rtol=0, atol=1.1e-9) and most < 250
+
+
 def test_shards_whose_codes_rule_out_little_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(A, "TRIAL", 5)
     monkeypatch.setattr(A, "BLOCK", 50)

@@ -26,10 +26,10 @@ def heatmap(metrics: DataFrame, size_ns: int) -> DataFrame:
     return m.groupBy("service", tumble_start(F.col("event_time"), size_ns).alias("window_start")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
-def merged_heatmap(metrics: DataFrame, size_ns: int) -> DataFrame:
-    """(service, window_start, avg_value, p99, value): means beside latency p99s; a cell shows the p99 where it has one."""
+def merged_heatmap(metrics: DataFrame, size_ns: int, above: float | None = None) -> DataFrame:
+    """(service, window_start, avg_value, p99, value): means beside latency p99s (of values ``above`` a bound, if given); a cell shows the p99 where it has one."""
     a = windows.window_average(metrics.where(_shown()), size_ns).select("service", "window_start", F.col("value").alias("avg_value"))
-    p = windows.window_percentiles(metrics, size_ns).select("service", "window_start", "p99")
+    p = windows.window_percentiles(metrics, size_ns, above=above).select("service", "window_start", "p99")
     return a.join(p, ["service", "window_start"], "full").withColumn("value", F.coalesce("p99", "avg_value"))
 
 

@@ -180,7 +180,7 @@ def revisions(df: DataFrame, processor: _Lifecycle, lateness_ns: int) -> DataFra
     return rows.groupBy("service").transformWithStateInPandas(processor, processor.output, "update", "EventTime")
 
 
-def heatmap(df: DataFrame, size_ns: int, lateness_ns: int, grace_ns: int) -> DataFrame:
+def heatmap(df: DataFrame, size_ns: int, lateness_ns: int, grace_ns: int, above: float | None = None) -> DataFrame:
     """The streaming heatmap: revisions of the means and of the latency p99s of each cell, as one stream; update mode.
 
     (service, window_start, kind, value, count, revision, finalized, late) with kind ``avg`` or ``p99``;
@@ -189,7 +189,8 @@ def heatmap(df: DataFrame, size_ns: int, lateness_ns: int, grace_ns: int) -> Dat
     shown = df.where(F.col("name").contains("lat") | F.col("name").contains("err") | F.col("name").contains("mem"))
     cell = ["count", "revision", "finalized", "late"]
     avg = revisions(shown, AverageRevisions(size_ns, grace_ns), lateness_ns).select("service", "window_start", F.lit("avg").alias("kind"), "value", *cell)
-    p99 = revisions(df.where(F.col("name").contains("lat")), PercentileRevisions(size_ns, grace_ns), lateness_ns).select("service", "window_start", F.lit("p99").alias("kind"), F.col("p99").alias("value"), *cell)
+    lat = F.col("name").contains("lat") if above is None else F.col("name").contains("lat") & (F.col("value") > above)
+    p99 = revisions(df.where(lat), PercentileRevisions(size_ns, grace_ns), lateness_ns).select("service", "window_start", F.lit("p99").alias("kind"), F.col("p99").alias("value"), *cell)
     return avg.unionByName(p99)
 
 

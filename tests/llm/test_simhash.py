@@ -140,3 +140,33 @@ def test_fingerprint_is_the_sign_of_the_weighted_sum_of_word_vectors():
     bits = int("".join("1" if x > 0 else "0" for x in sums), 2)
     fp, ok = S.fingerprint_texts([text])
     assert ok[0] and [int(x) for x in fp[0]] == [bits >> 64, bits & (2**64 - 1)]
+
+
+def test_large_buckets_of_few_near_pairs_are_compared_in_tiles(monkeypatch):
+    """All equal in one segment: the pairs within the distance are those that comparing all finds, and no forest walks over the rest."""
+    rng = np.random.default_rng(7)
+    fp = rng.integers(0, 2**63, (3000, 2), dtype=np.uint64) * np.uint64(2)
+    fp[:, 0] &= ~np.uint64((1 << 22) - 1)
+    # Near pairs that differ by 0, 1 and 2 bits in the segment.
+    for i, bits in enumerate([(), (3,), (3, 17), (0, 1), (21,)]):
+        near = fp[i] ^ np.array([sum(1 << b for b in bits), 0b10110 << 30], np.uint64)
+        fp[2000 + i] = near
+    monkeypatch.setattr(S, "forest", None)
+    keys, n = S.ball_keys(fp)[:, :23], len(fp)
+    e = S.bucket_edges(keys.ravel(), np.repeat(np.arange(n), 23), np.repeat(fp, 23, axis=0))
+    assert e.tolist() == [[i, 2000 + i] for i in range(5)]
+
+
+def test_edges_are_thinned_to_a_forest(monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = rng.integers(0, 300, (2000, 2))
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    few = S.thinned(edges)
+    assert len(few) == len(np.unique(edges)) - 1 and {tuple(x) for x in few} <= {tuple(x) for x in edges}
+    # Of a group with more near pairs than it keeps: rows of one cluster, whatever the bound.
+    monkeypatch.setattr(S, "EDGES", 50)
+    monkeypatch.setattr(S, "FOREST_FROM", 10**9)
+    fp = np.repeat(rng.integers(0, 2**63, (1, 2), dtype=np.uint64), 200, axis=0) ^ (np.uint64(1) << rng.integers(0, 60, (200, 2), dtype=np.uint64))
+    keys = S.ball_keys(fp)
+    e = S.bucket_edges(keys.ravel(), np.repeat(np.arange(200), keys.shape[1]), np.repeat(fp, keys.shape[1], axis=0))
+    assert len(S.thinned(e)) == 199 and len(e) < 1000 and (S.distances(fp[e[:, 0]], fp[e[:, 1]]) <= S.MAX_DISTANCE).all()

@@ -56,3 +56,26 @@ def test_edge_cases(spark):
 def test_decoding_what_no_text_gives():
     assert CODEC.decode([len(PIECES), -1, None]) == "�" * 3
     assert CODEC.decode([PIECES.index(b"\xff")]) == "�" and CODEC.decode(None) is None and CODEC.decode([]) == ""
+
+
+def test_lists_are_decoded_at_once_as_one_by_one():
+    import pyarrow as pa
+
+    ranks = B.read_ranks(B.VOCABULARY)
+    codec = B.Codec(ranks, B.serialised_model(ranks))
+    byte = {b: i for i, b in enumerate(ranks)}
+    good = [[1, 2, 3], [], None, codec.encode(["naïve 東京 🙂 \n\t x"]).to_pylist()[0]]
+    for lists in (good, [], [None], [*good, [byte[b"\xe6"]]], [[byte[b"\xf0"]], [byte[b"\x9f"]]], [*good, [len(ranks)]], [[-1, 5]], [[5, None]]):
+        got = codec.decode_all(pa.array(lists, pa.list_(pa.int32())))
+        assert got.to_pylist() == [codec.decode(x) for x in lists]
+    part = pa.array(good, pa.list_(pa.int32())).slice(1)
+    assert codec.decode_all(part).to_pylist() == [codec.decode(x) for x in good[1:]]
+
+
+def test_the_round_trip_makes_no_list_of_a_text(monkeypatch):
+    """Ids of ordinary texts are decoded from the array that encoding gives, without a Python object an id."""
+    monkeypatch.setattr(B.Codec, "decode", None)
+    ranks = B.read_ranks(B.VOCABULARY)
+    codec = B.Codec(ranks, B.serialised_model(ranks))
+    texts = ["one two", None, "", "drei  vier"]
+    assert codec.decode_all(codec.encode(texts)).to_pylist() == texts

@@ -9,7 +9,9 @@ encoding is one narrow pass, with the serialised model (its size is the vocabula
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +72,11 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(PATTERN).findall
         self.bytes = vocabulary
+        self.pieces = pa.array(vocabulary, pa.binary())
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
@@ -83,7 +86,7 @@ class Codec:
         index, known, flat, ends = self.index, len(self.index), [], np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             if t:
-                flat.extend([index.setdefault(p, len(index)) for p in self.cut(t)])
+                flat.extend([index[p] for p in self.cut(t)])
             ends[i + 1] = len(flat)
         if len(index) > known:
             new = [p.encode().decode("latin-1").translate(CHARACTERS) for p in list(index)[known:]]
@@ -111,6 +114,20 @@ class Codec:
         return joined.decode("utf-8", "replace")
 
 
+    def decode_all(self, ids: pa.ListArray) -> pa.StringArray:
+        """:meth:`decode` of each list; of all at once, unless ids are outside the vocabulary or null, or bytes no UTF-8."""
+        try:
+            joined, at = self.pieces.take(ids.values), ids.offsets.to_numpy()
+            if not joined.null_count:
+                ends = np.frombuffer(joined.buffers()[1], np.int32)[at]
+                out = pa.StringArray.from_buffers(len(ids), pa.py_buffer(ends), joined.buffers()[2], pa.array(np.packbits(ids.is_valid().to_numpy(zero_copy_only=False), bitorder="little")).buffers()[1])
+                out.validate(full=True)
+                return out
+        except pa.ArrowException:
+            pass
+        return pa.array([self.decode(x) for x in ids.to_pylist()], pa.string())
+
+
 def _with(docs: DataFrame, source: str, out: dict, vocabulary: str, make) -> DataFrame:
     """The documents with the columns ``out`` (replacing those of these names) that ``make(codec, values)`` gives."""
     pieces = read_ranks(vocabulary)
@@ -149,7 +166,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", ids_out: str = "ids", te
 
     def make(codec: Codec, texts):
         ids = codec.encode(texts)
-        return [ids, pa.array([codec.decode(x) for x in ids.to_pylist()], pa.string())]
+        return [ids, codec.decode_all(ids)]
 
     out = {ids_out: ArrayType(IntegerType(), False), text_out: StringType()}
     return _with(docs, text_col, out, vocabulary, make)

@@ -207,3 +207,13 @@ def test_doubles_beyond_single_precision(spark):
     for q, _, n, score in found:
         assert score == pytest.approx(u[q] @ u[n] / np.sqrt((u[q] @ u[q]) * (u[n] @ u[n])), abs=1e-9)
     assert len(found) == 20 and found[0][:3] == (1, 1, 4)
+
+
+def test_tiles_score_few_pairs_in_double_precision(monkeypatch):
+    rows = random_rows(3000, dim=16, seed=5)
+    ids, u = np.arange(3000), T.unit(np.array([v for _, v in rows]))
+    packed = {"s": 0, "ids": ids.tobytes(), "v": u.tobytes()}
+    best, widths = T.best, []
+    monkeypatch.setattr(T, "best", lambda i, s, k: widths.append(s.shape[1]) or best(i, s, k))
+    out = [(int(q), r + 1, int(i), float(s)) for a, b, c in T.tile(packed, packed, 16, 10) for q, i_, s_ in zip(a, b, c) for r, (i, s) in enumerate(zip(i_, s_))]
+    assert same(sorted(out), brute(rows, 10)) and max(widths) < 300

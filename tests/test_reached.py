@@ -78,7 +78,19 @@ def test_correlation_equals_the_pairs(spark):
         assert g.first_anomaly == first and g.anomaly_delay_ns == (None if first is None else first - x.event_time)
 
 
-@pytest.mark.parametrize("name", ["deploy_correlation"])
+@pytest.mark.parametrize("listed", [7, 2**18])
+def test_matches_of_changes_equal_those_of_the_join(spark, monkeypatch, listed):
+    monkeypatch.setattr(joins, "LISTED", listed)
+    m, c = odd_tables(spark)
+    c = c.unionByName(c.where("event_id in ('x1', 'x2')").withColumn("event_id", F.lit("again")))
+    p99 = spark.createDataFrame([(s, t, t + 50, float(abs(t) % 7)) for s in "ab" for t in range(-300, 300, 50)], "service string, window_start long, window_end long, p99 double")
+    emits = joins.change_join(m, c, 40, 25).select("change_id", "service", "change_time", F.col("event_id").alias("telemetry_ref"))
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    want = key(joins.emit_correlation(emits, p99).collect())
+    assert key(joins.change_correlation(m, c, p99, 40, 25).collect()) == want and want
+
+
+@pytest.mark.parametrize("name", ["emit_correlation", "deploy_correlation"])
 def test_no_pair_of_a_change_and_a_sample_is_a_row(spark, name):
     """Nothing is shuffled after changes and samples have met, and they don't meet in a join."""
     out = QUERIES[name](spark, SF)

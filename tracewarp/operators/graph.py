@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarp.tables import delete, stored
+from tracewarp.operators import whole_traces
+from tracewarp.tables import delete, stored, written
 
 SIMILAR, COHORT, SURE = 0.5, 20, 3
 
@@ -96,37 +97,16 @@ def traces(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 _NEEDED = ["span_id", "parent_span_id", "service", "operation", "start_time_ns", "end_time_ns", "status"]
 
 
-def per_trace(spans: DataFrame, f: Callable[[list[dict]], Iterator[tuple]], schema: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows that ``f`` yields for each trace's spans, in order of (start, id), after the trace's keys."""
+def per_trace(spans: DataFrame, f: Callable[[pa.Table, int], list[pa.Array]], schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """The columns that ``f`` gives for chunks of whole traces, whose spans are in order of (start, id): the trace's keys first."""
     keys = [*by, "trace_id"]
     placed = spans.select(*keys, *_NEEDED).repartition(*keys).sortWithinPartitions(*keys, "start_time_ns", "span_id")
     whole = ", ".join(f"{k} string" for k in keys) + ", " + schema
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    fields = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in whole.split(", "))])
-    n = len(keys)
+    names, n = [c.split()[0] for c in whole.split(", ")], len(keys)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        group: list[dict] = []
-        trace: tuple | None = None
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), fields)], schema=fields)
-
-        for b in it:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:n] != trace:
-                    if group:
-                        out.extend((*trace, *r) for r in f(group))
-                    group, trace = [], row[:n]
-                    if len(out) >= 5000:
-                        yield full()
-                        out.clear()
-                group.append(dict(zip(_NEEDED, row[n:])))
-        if group:
-            out.extend((*trace, *r) for r in f(group))
-        if out:
-            yield full()
+        for t in whole_traces.chunks(it, n):
+            yield pa.RecordBatch.from_arrays(f(t, n), names)
 
     return placed.mapInArrow(run, whole)
 
@@ -177,27 +157,13 @@ def critical_segments(spans: list[dict]) -> tuple[dict | None, list[tuple[int, i
     return root, sorted(found, key=lambda x: (x[0], x[2]["span_id"]))
 
 
-def _services_of(group: list[dict]) -> Iterator[tuple]:
-    """(service, contribution_ns, envelope_ns, failed, present, first) of the services that a trace has or whose time its critical path takes."""
-    root, found = critical_segments(group)
-    total: dict[str, int] = {}
-    for a, b, s in found:
-        name = s["service"] if s["service"] is not None else "unknown"
-        total[name] = total.get(name, 0) + b - a
-    present = {s["service"] for s in group} - {None}
-    failed = any(s["status"] == "error" for s in group)
-    width = max(0, root["end_time_ns"] - root["start_time_ns"]) if root else 0
-    for i, name in enumerate(sorted(total.keys() | present) or [None]):
-        yield name, total.get(name), width, failed, name in present, i == 0
-
-
 def trace_services(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(trace_id, service, contribution_ns, envelope_ns, failed, present, first): each trace's services.
 
     ``contribution_ns`` is the service's time on the critical path, null where it has none; spans without a service
     count as ``unknown``, which isn't ``present``. One row of a trace is its ``first``, so traces can be counted.
     """
-    return per_trace(spans, _services_of, "service string, contribution_ns long, envelope_ns long, failed boolean, present boolean, first boolean", by)
+    return per_trace(spans, whole_traces.services, "service string, contribution_ns long, envelope_ns long, failed boolean, present boolean, first boolean", by)
 
 
 def critical_paths(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -205,16 +171,25 @@ def critical_paths(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return trace_services(spans, by).where("contribution_ns is not null").drop("present", "first")
 
 
+_SUMMARY = "operation string, start_time_ns long, root_ns long, services array<string>, failed boolean, critical_ns long, envelope_ns long"
+_PATH = "path string, ordinal long, span_id string, duration_ns long"
+
+
+def summaries(spans: DataFrame) -> DataFrame:
+    """A row for each trace: (trace_id, operation, start_time_ns, root_ns, services, failed, critical_ns, envelope_ns).
+
+    The first three are of its widest root, ties by id; the last two of its critical path and its root.
+    """
+    return per_trace(spans, whole_traces.summaries, _SUMMARY)
+
+
 def roots(spans: DataFrame) -> DataFrame:
     """(trace_id, operation, start_time_ns, envelope_ns, services, failed): a trace by its widest root, ties by id."""
-    root = F.col("parent_span_id").isNull() | F.col("missing_parent")
-    width = F.col("end_time_ns") - F.col("start_time_ns")
-    out = trace_spans(spans.select("trace_id", *_NEEDED)).groupBy("trace_id").agg(
-        F.min(F.when(root, F.struct((-width).alias("w"), "span_id", "operation", "start_time_ns"))).alias("r"),
-        F.sort_array(F.collect_set("service")).alias("services"),
-        F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed"),
-    )
-    return out.where("r is not null").select("trace_id", "r.operation", "r.start_time_ns", F.greatest(-F.col("r.w"), F.lit(0)).alias("envelope_ns"), "services", "failed")
+    return _roots(summaries(spans))
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    return found.where("root_ns is not null").select("trace_id", "operation", "start_time_ns", F.col("root_ns").alias("envelope_ns"), "services", "failed")
 
 
 def _prefix(services: Column) -> Column:
@@ -223,14 +198,15 @@ def _prefix(services: Column) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(services, 1, (n - F.ceil(n * F.lit(SIMILAR)) + 1).cast("int")))
 
 
-def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None) -> DataFrame:
+def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None, found: DataFrame | None = None) -> DataFrame:
     """(failed_trace_id, operation, cohort, median_trace_id, confidence) for each failed trace.
 
     The cohort are healthy traces of the same root operation that began before the onset and share at least half of all
     services, the newest ``COHORT``. Healthy traces are first grouped by (operation, set of services), so similarity and
     the newest of a group need no pairs of traces; sets meet only where the prefixes that similar ones must share do.
+    ``found`` are the :func:`summaries`, if they are there already.
     """
-    r = roots(spans)
+    r = _roots(written(summaries(spans), "summaries") if found is None else found)
     healthy = r.where(~F.col("failed")) if onset_ns is None else r.where(~F.col("failed") & (F.col("start_time_ns") < onset_ns))
     newest = F.row_number().over(Window.partitionBy("operation", "services").orderBy(F.desc("start_time_ns"), "trace_id"))
     groups = healthy.withColumn("n", newest).where(F.col("n") <= COHORT).groupBy("operation", "services").agg(
@@ -257,43 +233,36 @@ def healthy_cohorts(spans: DataFrame, onset_ns: int | None = None) -> DataFrame:
     return out.select("failed_trace_id", F.col("op").alias("operation"), F.coalesce("cohort", F.array().cast("array<string>")).alias("cohort"), median.alias("median_trace_id"), sure.alias("confidence"))
 
 
-def _paths_of(group: list[dict]) -> Iterator[tuple]:
-    ids, seen = {s["span_id"]: s for s in group}, {}
-    root, found = critical_segments(group)
-    total = sum(b - a for a, b, _ in found)
-    width = max(0, root["end_time_ns"] - root["start_time_ns"]) if root else 0
-    for s in group:
-        path, at = [], s
-        while at is not None and len(path) <= len(group):
-            path.append(f"{'?' if at['service'] is None else at['service']}:{at['operation']}")
-            at = ids.get(at["parent_span_id"])
-        key = " > ".join(reversed(path))
-        n = seen[key] = seen.get(key, -1) + 1
-        yield key, n, s["span_id"], s["end_time_ns"] - s["start_time_ns"], total, width, s["service"]
+def causal_paths(spans: DataFrame) -> DataFrame:
+    """(trace_id, path, ordinal, span_id, duration_ns): each span under its path of service:operation from the root, and its number among the trace's spans of that path."""
+    return per_trace(spans, whole_traces.paths, _PATH)
 
 
-def causal_paths(spans: DataFrame) -> DataFrame:
-    """Each span under its path of service:operation from the root, and its number among the trace's spans of that path."""
-    return per_trace(spans, _paths_of, "path string, ordinal long, span_id string, duration_ns long, critical_ns long, envelope_ns long, service string")
+def paths_and_summaries(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`causal_paths` and :func:`summaries` by one pass over the spans, written."""
+    both = written(per_trace(spans, whole_traces.paths_and_summaries, f"{_PATH}, {_SUMMARY}"), "paths")
+    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    return both.select("trace_id", *names(_PATH)), both.where("failed is not null").select("trace_id", *names(_SUMMARY))
 
 
-def compare_traces(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare_traces(spans: DataFrame, pairs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Span differences of (failed_trace_id, healthy_trace_id) pairs, aligned by causal path and number.
 
     (failed_trace_id, healthy_trace_id, path, ordinal, failed_span_id, healthy_span_id, delta_ns); delta is null where
-    one side lacks the span.
+    one side lacks the span. ``paths`` are the :func:`causal_paths`, if they are there already.
     """
-    paths = causal_paths(spans)
-    side = lambda name: pairs.select("failed_trace_id", "healthy_trace_id").distinct().join(
-        paths.select(F.col("trace_id").alias(f"{name}_trace_id"), "path", "ordinal", F.col("span_id").alias(f"{name}_span_id"), F.col("duration_ns").alias(f"{name}_ns")), f"{name}_trace_id"
+    both = pairs.select("failed_trace_id", "healthy_trace_id").distinct()
+    sides = both.select("*", F.explode(F.array(F.struct(F.col("failed_trace_id").alias("trace_id"), F.lit(True).alias("own")), F.struct(F.col("healthy_trace_id").alias("trace_id"), F.lit(False).alias("own")))).alias("x"))
+    j = (causal_paths(spans) if paths is None else paths).join(sides.select("failed_trace_id", "healthy_trace_id", "x.*"), "trace_id")
+    of = lambda own, c: F.max(F.when(F.col("own") if own else ~F.col("own"), F.col(c)))
+    return j.groupBy("failed_trace_id", "healthy_trace_id", "path", "ordinal").agg(
+        of(True, "span_id").alias("failed_span_id"), of(False, "span_id").alias("healthy_span_id"), (of(True, "duration_ns") - of(False, "duration_ns")).alias("delta_ns")
     )
-    j = side("failed").join(side("healthy"), ["failed_trace_id", "healthy_trace_id", "path", "ordinal"], "full")
-    return j.select("failed_trace_id", "healthy_trace_id", "path", "ordinal", "failed_span_id", "healthy_span_id", (F.col("failed_ns") - F.col("healthy_ns")).alias("delta_ns"))
 
 
-def compare_summaries(spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair: excess of envelope and critical path, and services that only one side has."""
-    per = causal_paths(spans).groupBy("trace_id").agg(F.max("critical_ns").alias("critical_ns"), F.max("envelope_ns").alias("envelope_ns"), F.sort_array(F.collect_set("service")).alias("services"))
+def compare_summaries(spans: DataFrame, pairs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Per pair: excess of envelope and critical path, and services that only one side has. ``found`` are the :func:`summaries`, if they are there already."""
+    per = summaries(spans) if found is None else found
     side = lambda name: per.select(F.col("trace_id").alias(f"{name}_trace_id"), *(F.col(c).alias(f"{name}_{c}") for c in ("critical_ns", "envelope_ns", "services")))
     j = pairs.select("failed_trace_id", "healthy_trace_id").distinct().join(side("failed"), "failed_trace_id").join(side("healthy"), "healthy_trace_id")
     return j.select(

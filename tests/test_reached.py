@@ -104,3 +104,38 @@ def test_a_service_without_changes_and_changes_without_samples(spark):
     assert joins.correlation(m, c.where("1 = 0"), 10).count() == 0
     none = joins.correlation(m.where("1 = 0"), c, 10)
     assert none.count() == c.select("change_id").distinct().count() and none.where("windows > 0 or p99_before is not null").count() == 0
+
+
+COUNTED = [
+    "SELECT service, change_type, COUNT(*) AS n, AVG(value) AS mean, SUM(value) AS total, MIN(value) AS low, MAX(event_time) AS last, COUNT(value) AS some FROM t {} JOIN deployments ON service = service GROUP BY service, change_type",
+    "SELECT COUNT(*) AS n, SUM(value * 2) AS total FROM t {} JOIN deployments ON service = service WHERE name LIKE '%lat%'",
+    "SELECT change_id, version_after, COUNT(*) AS n FROM t {} JOIN deployments ON service = service WHERE value > 1 AND version_after = 'v' GROUP BY change_id, version_after",
+    "SELECT TUMBLE(event_time, '100ns') AS w, name, COUNT(*) AS n, AVG(value) AS mean FROM t {} JOIN deployments ON service = service WHERE name LIKE 'nothing' OR change_type = 'deployment' GROUP BY name, TUMBLE(event_time, '100ns')",
+    "SELECT COUNT(*) AS n, AVG(value) AS mean, SUM(value) AS total FROM t {} JOIN deployments ON service = service WHERE name LIKE 'nothing'",
+]
+
+
+@pytest.mark.parametrize("text", COUNTED)
+def test_aggregates_over_counted_joins_equal_those_over_pairs(spark, monkeypatch, text):
+    from tracewarp.plans.dialect import Session
+
+    m, c = odd_tables(spark)
+    m = m.where("value is null or abs(value) < 100")
+    c = c.withColumn("change_type", F.when(F.col("event_time") % 3 == 0, None).when(F.col("event_time") % 3 == 1, "flag").otherwise("deployment"))
+    s = Session(spark, {"t": m, "deployments": c}, lookback_ns=30, lookahead_ns=80)
+    out = s.query(text.format("INNER"))
+    assert "Join" not in plan(out)
+    monkeypatch.setattr(Session, "_counted", lambda self, s, df: None)
+    want = s.query(text.format("INNER"))
+    assert "Join" in plan(want) and out.dtypes == want.dtypes
+    key = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    assert key(out) == key(want) and key(want)
+
+
+@pytest.mark.parametrize("text", ["SELECT service, MAX(delay_ns) AS d FROM t {} JOIN deployments ON service = service GROUP BY service", "SELECT service, P50(value) AS p FROM t {} JOIN deployments ON service = service GROUP BY service", "SELECT event_id FROM t {} JOIN deployments ON service = service"])
+def test_what_needs_pairs_keeps_them(spark, text):
+    from tracewarp.plans.dialect import Session
+
+    m, c = odd_tables(spark)
+    assert "Join" in plan(Session(spark, {"t": m, "deployments": c}, lookback_ns=30, lookahead_ns=80).query(text.format("INNER")))
+    assert "Join" in plan(Session(spark, {"t": m, "deployments": c}).query(COUNTED[1].format("LEFT")))
